@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidematch.functions.text import is_blank, match_start, matched_value, search, strip, unix_newlines
-from sidematch.operators.scan import CHUNK, Last, Runs, Sum, scan, spread_join
+from sidematch.operators.scan import CHUNK, Chunk, Last, Runs, Sum, scan, spread_join
 
 DOC = ("side", "doc_id")
 POS = "line_no"
@@ -63,7 +63,7 @@ def trim_blocks(
     number: str,
     by: Sequence[str] = DOC,
     pos: str = POS,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Drop the blank lines at both ends of every block and number the blocks that
     are left from 1 (``number``).  ``block`` must not decrease along ``pos``.
@@ -97,7 +97,7 @@ def pages_by_value_change(
     pattern: Pattern,
     by: Sequence[str] = DOC,
     pos: str = POS,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Add ``page_no``: a new page begins on the line whose captured value differs
     from the last captured one.  Lines without a match stay on the current page."""
@@ -181,7 +181,7 @@ def repeating_lines(
     pos: str = POS,
     check: int = EDGE_LINES,
     share: float = REPEAT_SHARE,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """``by, kind, line, n``: stripped lines that are among the first (``header``) or
     last (``footer``) ``check`` lines of enough pages.  Separators are no footers."""
@@ -225,7 +225,7 @@ def strip_repeating(
     by: Sequence[str] = DOC,
     pos: str = POS,
     check: int = EDGE_LINES,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Add ``role``: header, body or footer.
 
@@ -270,7 +270,7 @@ def strip_repeating(
 
 
 def page_sections(
-    body: DataFrame, by: Sequence[str] = DOC, pos: str = POS, chunk: int | None = CHUNK
+    body: DataFrame, by: Sequence[str] = DOC, pos: str = POS, chunk: Chunk = CHUNK
 ) -> DataFrame:
     """Add ``section_id``, ``section_title`` and ``is_marker``: a line that starts with
     ``PAGE n`` opens the section ``Page n``; lines before the first are ``Page 0``."""
@@ -292,7 +292,7 @@ def page_sections(
 
 def section_list(
     sections: DataFrame, docs: DataFrame | None = None, by: Sequence[str] = DOC,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """One row per section: ``by, ordinal, section_id, section_title, n_lines,
     n_filled``.  Documents of ``docs`` without a body get one empty ``Page 0``."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidematch.functions.keys import sort_value
-from sidematch.operators.scan import CHUNK, number_rows, spread_join
+from sidematch.operators.scan import CHUNK, Chunk, number_rows, spread_join
 from sidematch.operators.stats import Normalize, compared, diff_columns, line_stats, similarity_pct
 
 
@@ -35,7 +35,7 @@ def pair_rows(
     keys: Sequence[str],
     pos: str,
     unique: bool = False,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Full outer pairing on ``keys``, the k-th row of a key with the k-th (``occ``).
     Other columns come out as ``x_a`` and ``x_b``, with a ``status``.
@@ -66,7 +66,7 @@ def compare_rows(
     pos: str = "line_no",
     normalize: Normalize | None = None,
     unique: bool = False,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Pair keyed rows (``keys, pos, line, ...``) and add the line statistics of each
     pair: one line on each side, equal or not.  Statistics of unmatched rows are
@@ -95,7 +95,7 @@ def compare_blocks(
     block: str,
     pos: str = "line_no",
     normalize: Normalize | None = None,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Pair blocks of lines by ``key``, k-th with k-th, and compare their lines:
     ``by, key, occ, status`` and the line statistics.
@@ -118,7 +118,7 @@ def compare_transactions(
     by: Sequence[str],
     pos: str = "line_no",
     normalize: Normalize | None = None,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Transactions paired by sort key; ``sort_val`` is the typed order of the keys."""
     out = compare_blocks(a, b, by, "sort_key", "txn_id", pos, normalize, chunk)

@@ -33,8 +33,12 @@ def choose_chunk(df: DataFrame, by: Sequence[str], limit: int = MAX_GROUP_ROWS)
     return None if largest_group(df, by) <= limit else CHUNK
 
 
-def slice_of(pos: str, chunk: int) -> Column:
-    return F.floor(F.col(pos) / chunk).cast("long")
+# Slice width in positions, a slice number that grows with the position, or None.
+Chunk = int | Column | None
+
+
+def slice_of(pos: str, chunk: int | Column) -> Column:
+    return chunk if isinstance(chunk, Column) else F.floor(F.col(pos) / chunk).cast("long")
 
 
 @dataclass(frozen=True)
@@ -240,12 +244,13 @@ def scan(
     by: Sequence[str],
     pos: str,
     specs: Mapping[str, Spec],
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """Add the running values ``specs`` (name -> Spec) to ``df``.
 
     ``by`` are the non-NULL group columns and ``pos`` an integer column, unique
-    inside a group, that orders it.
+    inside a group, that orders it.  Any other orderable ``pos`` needs its slices
+    spelled out: a ``chunk`` column that never falls as ``pos`` grows.
     """
     columns = list(df.columns)
     names = {out: f"_{i}" for i, out in enumerate(specs)}
@@ -297,7 +302,7 @@ def _stages(df: DataFrame, per_spec: list[list[dict[str, Column]]]) -> DataFrame
 
 
 def number_rows(
-    df: DataFrame, by: Sequence[str], pos: str, name: str, chunk: int | None = CHUNK
+    df: DataFrame, by: Sequence[str], pos: str, name: str, chunk: Chunk = CHUNK
 ) -> DataFrame:
     """Add the 1-based rank of each row in its group, in ``pos`` order."""
     return scan(df, by, pos, {name: Sum(F.lit(1))}, chunk)
@@ -308,7 +313,7 @@ def spread_join(
     per_group: DataFrame,
     by: Sequence[str],
     pos: str,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
     how: str = "left",
 ) -> DataFrame:
     """Join one row per group to the rows of the group.

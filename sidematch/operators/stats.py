@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidematch.functions.text import WORD, is_blank
-from sidematch.operators.scan import CHUNK, Last, scan
+from sidematch.operators.scan import CHUNK, Chunk, Last, scan
 
 Normalize = Callable[[Column], Column]
 
@@ -128,7 +128,7 @@ def terms(
     by: Sequence[str],
     pos: str,
     stop_words: Sequence[str],
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """``by, term``: the words and word pairs of a text given as ordered lines.  Stop
     words go first, and pairs run on from one line to the next."""
@@ -154,7 +154,7 @@ def text_cosine(
     by: Sequence[str],
     pos: str = "line_no",
     stop_words: Sequence[str] | None = None,
-    chunk: int | None = CHUNK,
+    chunk: Chunk = CHUNK,
 ) -> DataFrame:
     """``by, text_similarity``: TF-IDF cosine of the two texts of each group.
 
