@@ -352,7 +352,7 @@ def status_counts(spark, sf_dir):
 
 
 @query("header_footer_diff", f"""WITH {REPORT_SQL}, {VALUE_PAGES_SQL}, {HEADERS_SQL},
-    p AS (SELECT doc_id, kind, line, bool_or(side = 'A') AS a, bool_or(side = 'B') AS b
+    hf AS (SELECT doc_id, kind, line, bool_or(side = 'A') AS a, bool_or(side = 'B') AS b
           FROM repeating GROUP BY ALL)
     SELECT doc_id,
       coalesce(list(line ORDER BY line) FILTER (WHERE kind = 'header' AND a AND NOT b), []) AS headers_only_in_a,
@@ -361,7 +361,7 @@ def status_counts(spark, sf_dir):
       coalesce(list(line ORDER BY line) FILTER (WHERE kind = 'footer' AND a AND NOT b), []) AS footers_only_in_a,
       coalesce(list(line ORDER BY line) FILTER (WHERE kind = 'footer' AND b AND NOT a), []) AS footers_only_in_b,
       coalesce(list(line ORDER BY line) FILTER (WHERE kind = 'footer' AND a AND b), []) AS footers_common
-    FROM p GROUP BY doc_id""")
+    FROM hf GROUP BY doc_id""")
 def header_footer_diff(spark, sf_dir):
     paged, chunk = _paged(spark, sf_dir)
     return rollup.header_footer_diff(pages.repeating_lines(paged, SEPARATOR, chunk=chunk), ["doc_id"])
