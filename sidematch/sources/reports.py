@@ -23,16 +23,16 @@ def read_reports(
     that are not UTF-8 become replacement characters.
     """
     wanted = [e.lower() for e in exts]
+    # A glob that ignores case, so that other files are not even listed for reading.
+    globs = ["*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted]
     files = (
         spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "false")
+        .option("pathGlobFilter", "{" + ",".join(globs) + "}")
         .load(path)
         .select(
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("raw_name"),
+            F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
             F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
         )
-        .withColumn("file_name", F.coalesce(F.try_url_decode(
-            F.replace(F.col("raw_name"), F.lit("+"), F.lit("%2B"))), F.col("raw_name")))
         .withColumn("match_name", F.lower("file_name"))
         .withColumn("ext", F.lower(F.regexp_extract("file_name", r"[^.](\.[^.]+)$", 1)))
         .where(F.col("ext").isin(wanted))
@@ -66,9 +66,10 @@ def read_lines(spark: SparkSession, path: str, side: str) -> DataFrame:
     Spark splits the files; a line's number is its offset inside the split plus the
     lines of the splits before it, so nothing is sorted and no file is one task.
     """
+    name = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
     raw = spark.read.text(path).select(
         F.lit(side).alias("side"),
-        F.lower(F.col("_metadata.file_name")).alias("doc_id"),
+        F.lower(F.url_decode(name)).alias("doc_id"),
         F.col("_metadata.file_block_start").alias(SLICE),
         F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("line"),
