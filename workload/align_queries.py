@@ -15,10 +15,9 @@ from workload.text_queries import doc_chunk
 DOC = ["doc_id"]
 
 
-def opcodes_sql(prefix):
-    """Opcodes of lines ``idx_a`` and ``idx_b`` (doc_id, idx, line): k-th copies matched,
-    patience levels by a recursive walk, the chain walked back from the last."""
-    return f"""{prefix},
+# Lines ``idx_a`` and ``idx_b`` (doc_id, idx, line): k-th copies matched, patience
+# levels by a recursive walk, the chain walked back from the last.
+LCS_SQL = """
     oa AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY idx) AS occ FROM idx_a),
     ob AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY idx) AS occ FROM idx_b),
     seqs AS (SELECT oa.doc_id, list(oa.idx ORDER BY oa.idx) AS xs, list(ob.idx ORDER BY oa.idx) AS ys
@@ -38,7 +37,9 @@ def opcodes_sql(prefix):
       UNION ALL
       SELECT c.doc_id, l - 1, list_max(list_filter(range(1, spot), lambda j: lv[j] = l - 1))
       FROM chain c JOIN done d ON c.doc_id = d.doc_id WHERE l > 1),
-    lcs AS (SELECT c.doc_id, xs[spot] AS x, ys[spot] AS y FROM chain c JOIN done d ON c.doc_id = d.doc_id),
+    lcs AS (SELECT c.doc_id, xs[spot] AS x, ys[spot] AS y FROM chain c JOIN done d ON c.doc_id = d.doc_id)"""
+# Opcodes from the chosen pairs ``lcs`` (doc_id, x, y).
+OPCODES_SQL = """
     lk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x) AS k FROM lcs),
     eq AS (SELECT doc_id, min(x) AS i1, max(x) + 1 AS i2, min(y) AS j1, max(y) + 1 AS j2
            FROM lk GROUP BY doc_id, x - k, y - k),
@@ -57,9 +58,10 @@ def opcodes_sql(prefix):
               i1, i2, j1, j2, n_a, n_b FROM ops0 JOIN tot ON ops0.doc_id = tot.doc_id)"""
 
 
-OPS_SQL = "WITH RECURSIVE " + opcodes_sql(TEXT_SQL + """,
+OPS_SQL = f"""WITH RECURSIVE {TEXT_SQL},
     idx_a AS (SELECT doc_id, line_no - 1 AS idx, line FROM lines_a),
-    idx_b AS (SELECT doc_id, line_no - 1 AS idx, line FROM lines_b)""")
+    idx_b AS (SELECT doc_id, line_no - 1 AS idx, line FROM lines_b),
+    {LCS_SQL}, {OPCODES_SQL}"""
 
 
 def aligned(spark, sf_dir):
@@ -80,8 +82,7 @@ def opcodes(spark, sf_dir):
 
 @query("opcodes_changed", f"""{OPS_SQL},
     only_equal AS (SELECT doc_id FROM ops GROUP BY doc_id HAVING count(*) = 1 AND max(tag) = 'equal')
-    SELECT * FROM ops WHERE doc_id NOT IN (SELECT doc_id FROM only_equal)
-    UNION ALL SELECT * FROM ops WHERE false""")
+    SELECT * FROM ops WHERE doc_id NOT IN (SELECT doc_id FROM only_equal)""")
 def opcodes_changed(spark, sf_dir):
     """Alignment of the documents whose line statistics differ, or whose lines moved."""
     docs = [text_docs(spark, sf_dir, s) for s in "AB"]
@@ -193,11 +194,17 @@ def diff_rows(spark, sf_dir):
     return align.diff_rows(ops, a, b, DOC, chunk=chunk)
 
 
-@query("sorted_diff")
+# Lines of the keyed file are unique and both sides stand in key order, so every
+# equal line is on the common subsequence.
+@query("sorted_diff", f"""WITH {COMPARE_ORDERS_SQL},
+    placed AS (SELECT *, row_number() OVER (ORDER BY key, occ) AS place FROM cmp),
+    idx_a AS (SELECT 'orders.csv' AS doc_id, row_number() OVER (ORDER BY place) - 1 AS idx, line_a AS line
+              FROM placed WHERE line_a IS NOT NULL),
+    idx_b AS (SELECT 'orders.csv' AS doc_id, row_number() OVER (ORDER BY place) - 1 AS idx, line_b AS line
+              FROM placed WHERE line_b IS NOT NULL),
+    lcs AS (SELECT a.doc_id, a.idx AS x, b.idx AS y FROM idx_a a JOIN idx_b b ON a.line = b.line),
+    {OPCODES_SQL}, {diff_rows_sql()}""")
 def sorted_diff(spark, sf_dir):
-    """Diff rows of the keyed orders in key order.  The check of its parts is in the
-    tests: the whole is one alignment of all orders."""
-    ordered = align.in_key_order(compared_orders(spark, sf_dir).withColumn(
-        "sort_vals_a", F.when(F.col("line_a").isNotNull(), F.col("key"))).withColumn(
-        "sort_vals_b", F.when(F.col("line_b").isNotNull(), F.col("key"))), DOC)
-    return align.sorted_diff(ordered, DOC, "place")
+    """Diff rows of the keyed orders, both sides in key order."""
+    rows = compared_orders(spark, sf_dir)
+    return align.sorted_diff(align.in_key_order(rows, DOC), DOC, "place")

@@ -94,7 +94,7 @@ def compared_orders(spark, sf_dir):
     sides = [
         parse_keyed_rows(order_lines(spark, sf_dir, s), ORDER_KEYS, by=["doc_id"])[0] for s in "AB"
     ]
-    rows = [df.select("doc_id", "key", "line_no", "line") for df in sides]
+    rows = [df.select("doc_id", "key", "line_no", "line", "sort_vals") for df in sides]
     chunk = choose_chunk(rows[0].unionByName(rows[1]), ["doc_id", "key"])
     return pairing.compare_rows(*rows, ["doc_id", "key"], chunk=chunk, normalize=mask_dates)
 
