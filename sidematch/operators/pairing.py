@@ -71,8 +71,9 @@ def compare_rows(
     """Pair keyed rows (``keys, pos, line, ...``) and add the line statistics of each
     pair: one line on each side, equal or not.  Statistics of unmatched rows are
     NULL but for the one line added or deleted."""
-    pairs = pair_rows(a, b, keys, pos, unique, chunk)
-    same = compared(F.col("line_a"), normalize) == compared(F.col("line_b"), normalize)
+    equal = compared(F.col("line_a"), normalize) == compared(F.col("line_b"), normalize)
+    pairs = pair_rows(a, b, keys, pos, unique, chunk).withColumn("_same", equal)
+    same = F.col("_same")
     matched = F.col("status") == "matched"
     one = F.lit(1).cast("long")
     stats = diff_columns(F.when(same, 1).otherwise(0).cast("long"), one, one)
@@ -84,7 +85,7 @@ def compare_rows(
             "lines_added": added.cast("long"),
             "lines_deleted": deleted.cast("long"),
         }
-    )
+    ).drop("_same")
 
 
 def compare_blocks(

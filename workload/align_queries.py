@@ -70,7 +70,7 @@ def aligned(spark, sf_dir):
     chunk = doc_chunk(docs[0].unionByName(docs[1]))
     # A text's lines are numbered as they leave their cell.
     a, b = (
-        explode_lines(d, DOC).withColumn("idx", F.col("line_no") - 1) for d in docs
+        materialize(explode_lines(d, DOC).withColumn("idx", F.col("line_no") - 1)) for d in docs
     )
     return a, b, materialize(align.align_lines(a, b, DOC, chunk=chunk)), chunk
 
@@ -88,8 +88,11 @@ def opcodes_changed(spark, sf_dir):
     docs = [text_docs(spark, sf_dir, s) for s in "AB"]
     names = docs[0].withColumnRenamed("text", "_t").join(docs[1], DOC, "full")
     differ = names.where(~F.col("_t").eqNullSafe(F.col("text"))).select("doc_id")
+    differ = materialize(differ)
     a, b = (
-        explode_lines(d.join(differ, DOC, "left_semi"), DOC).withColumn("idx", F.col("line_no") - 1)
+        materialize(
+            explode_lines(d.join(differ, DOC, "left_semi"), DOC).withColumn("idx", F.col("line_no") - 1)
+        )
         for d in docs
     )
     return align.align_lines(a, b, DOC, chunk=doc_chunk(docs[0].unionByName(docs[1])))
@@ -206,5 +209,5 @@ def diff_rows(spark, sf_dir):
     {OPCODES_SQL}, {diff_rows_sql()}""")
 def sorted_diff(spark, sf_dir):
     """Diff rows of the keyed orders, both sides in key order."""
-    rows = compared_orders(spark, sf_dir)
+    rows = materialize(compared_orders(spark, sf_dir))
     return align.sorted_diff(align.in_key_order(rows, DOC), DOC, "place")
