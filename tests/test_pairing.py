@@ -31,7 +31,8 @@ def ratio(a, b):
     return 1 - distance(a, b) / max(len(a), len(b), 1)
 
 
-def test_fuzzy_pairs(spark):
+@pytest.mark.parametrize("few", [3, 100_000])
+def test_fuzzy_pairs(spark, few):
     rng = random.Random(2)
     a = {"".join(rng.choice("abc1_") for _ in range(rng.randint(1, 14))) + ".txt" for _ in range(45)}
     b = {"".join(rng.choice("abc1_") if rng.random() < 0.2 else c for c in x) for x in sorted(a)} - a
@@ -45,7 +46,7 @@ def test_fuzzy_pairs(spark):
             want[x] = (y, round(r, 4))
             used.add(y)
     names = [spark.createDataFrame([(x,) for x in sorted(s)], "name string") for s in (a, b)]
-    got = {r.name_a: (r.name_b, round(r.ratio, 4)) for r in fuzzy_pairs(*names).collect()}
+    got = {r.name_a: (r.name_b, round(r.ratio, 4)) for r in fuzzy_pairs(*names, few=few).collect()}
     assert got == want
     one = [spark.createDataFrame([(f"report_v{i}.txt",)], "name string") for i in (1, 2)]
     assert [(r.name_b, r.ratio) for r in fuzzy_pairs(*one).collect()] == [("report_v2.txt", 0.9231)]
