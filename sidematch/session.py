@@ -35,11 +35,23 @@ def materialize(df: DataFrame) -> DataFrame:
     reads prune columns, and a lost executor costs a re-read, not a re-parse.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/sidematch/{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/sidematch/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once its results are
+    written: results not yet written still read them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.delete(path, True)
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Row count of the largest group (partial counts are combined map-side)."""
     row = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()
