@@ -133,8 +133,7 @@ def terms(
     """``by, term``: the words and word pairs of a text given as ordered lines.  Stop
     words go first, and pairs run on from one line to the next."""
     words = F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD}{{2,}})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    kept = F.filter(words, lambda w: ~F.array_contains(stop, w)) if stop_words else words
+    kept = F.filter(words, lambda w: ~w.isin(list(stop_words))) if stop_words else words
     rows = lines.select(*by, pos, kept.alias("_w")).where(F.size("_w") > 0)
     rows = scan(
         rows, by, pos, {"_prev": Last(F.element_at("_w", -1), inclusive=False)}, chunk
