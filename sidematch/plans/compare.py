@@ -37,14 +37,17 @@ class Options:
     fuzzy: bool = False
     fuzzy_threshold: float = NAME_THRESHOLD
     transactions: bool = False
+    extract: bool = False
     semantic: bool = False
     keep_blank: bool = False
+    page_diffs: bool = False
     context: int = align.CONTEXT
 
 
 @dataclass(frozen=True)
 class Comparison:
-    """Result tables; all but ``folder`` and ``dashboard`` have a ``pair_id``."""
+    """Result tables.  All but ``extracts``, ``folder`` and ``dashboard`` have a
+    ``pair_id``; those not asked for, or that no rule asks for, are None."""
 
     pairs: DataFrame
     summary: DataFrame
@@ -56,6 +59,7 @@ class Comparison:
     extracts: DataFrame | None
     diff_rows: DataFrame
     unified_diff: DataFrame
+    page_diff_rows: DataFrame | None
     folder: DataFrame
     dashboard: DataFrame
 
@@ -170,28 +174,32 @@ def compare(
         side(section_lines, "B"), PAIR, "pos", normalize, options.semantic, chunk,
     ))
     page_results = rollup.compare_pages(side(paged, "A"), side(paged, "B"), PAIR, normalize)
+    page_diff_rows = None
+    if options.page_diffs:
+        page_results = materialize(page_results)
+        page_diff_rows = align.part_diffs(
+            side(filled, "A"), side(filled, "B"), page_results, ["pair_id", "page_no"], "line_no",
+            normalize, options.context, chunk,
+        )
     summary = materialize(rollup.pair_summary(
         paged, body, section_list, repeating, content, sections, PAIR
     ))
 
-    transactions = extracts = summary_sections = rows = None
+    transactions = summary_sections = rows = None
     sort_key = rule_columns.sort_key(rules)
     owned = filled
-    if sort_key is not None:
+    if sort_key is not None and options.transactions:
         owned = materialize(blocks.transactions(
             filled, sort_key, rule_columns.max_lines(rules), SIDES, "pos", chunk,
             keep_unowned=True, has_blanks=False,
         ))
         txns = owned.where(F.col("txn_id").isNotNull())
-        extracts = blocks.extract_transactions(txns)
-        if options.transactions:
-            transactions = pairing.compare_transactions(
-                side(txns, "A"), side(txns, "B"), PAIR, "pos", normalize, chunk
-            )
+        transactions = pairing.compare_transactions(
+            side(txns, "A"), side(txns, "B"), PAIR, "pos", normalize, chunk
+        )
     separator = rule_columns.separator(rules)
     if separator is not None:
-        base = owned if options.transactions else filled
-        base = base.where(rule_columns.has(rules, "separator_pattern"))
+        base = owned.where(rule_columns.has(rules, "separator_pattern"))
         found = materialize(blocks.summary_sections(base, separator, SIDES, "pos", chunk))
         summary_sections = rollup.compare_summary_sections(side(found, "A"), side(found, "B"), PAIR, normalize)
     keys = rule_columns.by_rule(
@@ -227,12 +235,37 @@ def compare(
     everything = pairs.join(summary.select("pair_id", "similarity_ratio"), PAIR, "left")
     return Comparison(
         pairs=pairs, summary=summary, pages=page_results, sections=sections,
-        transactions=transactions, summary_sections=summary_sections, rows=rows, extracts=extracts,
-        diff_rows=diffs, unified_diff=unified, folder=rollup.folder_summary(everything),
+        transactions=transactions, summary_sections=summary_sections, rows=rows,
+        extracts=extract(docs, rules, options.ignore_lines) if options.extract else None,
+        diff_rows=diffs, unified_diff=unified, page_diff_rows=page_diff_rows, folder=rollup.folder_summary(everything),
         dashboard=rollup.dashboard(everything),
     )
 
 
+def extract(
+    docs: DataFrame, rules: Sequence[Rule], ignore: Sequence[str] = ()
+) -> DataFrame | None:
+    """The transactions of every document of both sides, paired or not, by its own rule:
+    ``extract_name, sort_key, line`` and what orders them (``sort_val, txn_id, pos``).
+    None when no rule has a sort pattern."""
+    sort_key = rule_columns.sort_key(rules)
+    if sort_key is None:
+        return None
+    own = resolve_rules(docs, rules).withColumn("rule_no", F.coalesce("rule_no", F.lit(0)))
+    own = own.where(rule_columns.has(rules, "sort_pattern")).withColumn("pair_id", F.col("doc_id"))
+    parsed, _ = parse(own.select(*SIDES, "text"), rules, ignore)
+    filled = non_blank(parsed.where("role = 'body'"))
+    found = blocks.transactions(
+        filled, sort_key, rule_columns.max_lines(rules), SIDES, "pos",
+        choose_chunk(filled, ["side", "pair_id"]), has_blanks=False,
+    )
+    alone = pair_name(F.col("file_name"), F.lit(""), F.lit("exact"))
+    names = own.select("side", "pair_id", F.concat_ws("_", "side", alone).alias("extract_name"))
+    return blocks.extract_transactions(found).join(names, ["side", "pair_id"]).select(
+        "extract_name", "sort_val", "txn_id", "pos", "sort_key", "line"
+    )
+
+
 def compare_folders(
     spark: SparkSession,
     folder_a: str,
@@ -250,11 +283,11 @@ def write_results(result: Comparison, path: str) -> None:
     """The CSV results below ``path``: one folder per kind and in it one per pair."""
     named = result.pairs.where(F.col("pair_name").isNotNull()).select("pair_id", "pair_name")
 
-    def out(df: DataFrame, kind: str, order: list, columns: list[str], header: bool = True) -> None:
+    def out(df: DataFrame, kind: str, order: list, columns: list[str]) -> None:
         joined = df.join(named, PAIR)
         hidden = [c.alias(f"_o{i}") for i, c in enumerate(order)]
         rows = joined.select("pair_name", *columns, *hidden)
-        write_result(rows, f"{path}/{kind}", "pair_name", [F.col(f"_o{i}") for i in range(len(order))], header)
+        write_result(rows, f"{path}/{kind}", "pair_name", [F.col(f"_o{i}") for i in range(len(order))])
 
     if result.transactions is not None:
         txns = pairing.txn_result(result.transactions, ["pair_id", "sort_val"])
@@ -270,6 +303,7 @@ def write_results(result: Comparison, path: str) -> None:
         out(rows, "rows", [F.col("sort_vals"), F.col("key"), F.col("occ")],
             ["key", "status", "similarity_pct", "lines_added", "lines_deleted"])
     if result.extracts is not None:
-        for tag in "AB":
-            out(result.extracts.where(F.col("side") == tag), f"extract_{tag}",
-                [F.col("sort_val"), F.col("txn_id"), F.col("pos")], ["sort_key", "line"], header=False)
+        hidden = [F.col(c).alias(f"_{c}") for c in ("sort_val", "txn_id", "pos")]
+        rows = result.extracts.select("extract_name", "sort_key", "line", *hidden)
+        order = ["_sort_val", "_txn_id", "_pos"]
+        write_result(rows, f"{path}/extracts", "extract_name", order, header=False)

@@ -35,7 +35,8 @@ def test_compare_folders(spark, tmp_path):
     docs = read_reports(spark, str(a), "A", [".txt", ".CSV"])
     assert {r.file_name for r in docs.collect()} == {"TER 1.TXT", "same.txt", "list_v1.csv", "lonely_document.txt"}
     result = compare_folders(
-        spark, str(a), str(b), rules, Options(fuzzy=True, transactions=True, semantic=True), [".txt", ".csv"]
+        spark, str(a), str(b), rules, Options(fuzzy=True, transactions=True, extract=True, semantic=True),
+        [".txt", ".csv"],
     )
     pairs = {r.pair_name: (r.match_type, r.name_ratio) for r in result.pairs.collect() if r.pair_name}
     assert pairs == {
@@ -62,9 +63,9 @@ def test_compare_folders(spark, tmp_path):
     out = str(tmp_path / "out")
     write_results(result, out)
 
-    def read(kind, pair):
+    def read(kind, pair, key="pair_name"):
         rows = []
-        for path in sorted(glob.glob(f"{out}/{kind}/pair_name={pair}/*.csv")):
+        for path in sorted(glob.glob(f"{out}/{kind}/{key}={pair}/*.csv")):
             with open(path, newline="") as f:
                 rows += [r for r in csv.reader(f)]
         return rows
@@ -78,7 +79,7 @@ def test_compare_folders(spark, tmp_path):
         ["key", "status", "similarity_pct", "lines_added", "lines_deleted"],
         ["K000001", "matched", "100.0", "0", "0"], ["K000002", "matched", "0.0", "1", "1"],
         ["K000003", "added", "", "1", "0"]]
-    assert read("extract_A", "TER 1")[:2] == [["001", "FN1 001"], ["001", "amount 1"]]
+    assert read("extracts", "A_TER 1", "extract_name")[:2] == [["001", "FN1 001"], ["001", "amount 1"]]
 
 
 def test_read_lines(spark, tmp_path):
