@@ -173,9 +173,9 @@ def changed_columns(spark, sf_dir):
 
 @query("match_titles")
 def match_titles(spark, sf_dir):
-    """Conversations as documents, turns as sections titled by how they open."""
+    """Conversations as documents, turns as sections titled by their text."""
     turns = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "turn AS ordinal", "substring_index(text, '.', 1) AS title"
+        "conv_id", "turn AS ordinal", "text AS title"
     )
     b = turns.where("(conv_id + ordinal) % 7 <> 0").withColumn(
         "title", F.expr("if((conv_id + ordinal) % 3 = 0, concat(replace(title, 'an', 'en'), ' II'), title)")

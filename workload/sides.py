@@ -191,9 +191,9 @@ item_ranked AS (
 
 
 def named_docs(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """``doc_id, match_name``: one name per distinct opening of a text; B renames."""
+    """``doc_id, match_name``: one name per distinct text and language; B renames."""
     names = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "concat(substring(regexp_replace(lower(text), '[^a-z0-9]+', '_'), 1, 40), '.txt') AS name"
+        "doc_id", "concat(lang, '_', md5(text), '.txt') AS name"
     )
     names = names.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     if side == "A":
@@ -202,7 +202,7 @@ def named_docs(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         """CASE doc_id % 5 WHEN 0 THEN name
              WHEN 1 THEN concat(substring(name, 1, 5), '_v2', substring(name, 9))
              WHEN 2 THEN concat('x', name)
-             ELSE replace(name, 'an', 'en') END AS match_name""",
+             ELSE replace(name, 'a', '99') END AS match_name""",
         "doc_id",
     )
     return renamed.groupBy("match_name").agg(F.min("doc_id").cast("string").alias("doc_id"))
@@ -211,14 +211,13 @@ def named_docs(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 NAME_SQL = r"""
 names AS (
   SELECT name, min(doc_id) AS doc_id
-  FROM (SELECT doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), 1, 40) || '.txt' AS name
-        FROM documents) GROUP BY name),
+  FROM (SELECT doc_id, lang || '_' || md5(text) || '.txt' AS name FROM documents) GROUP BY name),
 names_a AS (SELECT name AS match_name, doc_id FROM names),
 names_b AS (
   SELECT match_name, min(doc_id) AS doc_id FROM (
     SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN name
              WHEN 1 THEN substr(name, 1, 5) || '_v2' || substr(name, 9)
              WHEN 2 THEN 'x' || name
-             ELSE replace(name, 'an', 'en') END AS match_name
+             ELSE replace(name, 'a', '99') END AS match_name
     FROM names WHERE doc_id % 5 <> 4) GROUP BY match_name)
 """

@@ -243,38 +243,37 @@ _USEFUL = f"list_filter(ws, lambda x: NOT list_contains({_TITLE_STOPS}, x))"
 TOKENS_SQL = f"""list_distinct(CASE WHEN len(ws) = 0 THEN [norm] WHEN len({_USEFUL}) = 0 THEN ws
     ELSE {_USEFUL} END)"""
 
-@query("title_tokens_idf", f"""WITH t AS (
-      SELECT doc_id, {norm_sql("string_split(text, chr(10))[1]")} AS norm FROM documents),
-    w AS (SELECT doc_id, norm, regexp_extract_all(norm, '{text.WORD}{{2,}}') AS ws FROM t),
-    k AS (SELECT doc_id, unnest({TOKENS_SQL}) AS token FROM w),
+# Every line of a text taken as a title.
+@query("title_tokens_idf", f"""WITH {TEXT_SQL},
+    t AS (SELECT doc_id, line_no, {norm_sql('line')} AS norm FROM lines_a),
+    w AS (SELECT norm, regexp_extract_all(norm, '{text.WORD}{{2,}}') AS ws FROM t),
+    k AS (SELECT unnest({TOKENS_SQL}) AS token FROM w),
     d AS (SELECT token, count(*) AS titles FROM k GROUP BY token)
     SELECT token, titles, round(ln((1 + n)::DOUBLE / (1 + titles)) + 1, 6) AS idf
-    FROM d, (SELECT count(*) AS n FROM documents)""")
+    FROM d, (SELECT count(*) AS n FROM lines_a)""")
 def title_tokens_idf(spark, sf_dir):
     from sidematch.operators.titles import idf_weights
 
-    first = F.substring_index("text", "\n", 1)
-    titles = table(spark, sf_dir, "documents").select("doc_id", text.normalize_title(first).alias("norm"))
-    tokens = titles.select("doc_id", F.explode(text.title_tokens(F.col("norm"))).alias("token"))
+    titles = line_sides(spark, sf_dir)[0].select(text.normalize_title(F.col("line")).alias("norm"))
+    tokens = titles.select(F.explode(text.title_tokens(F.col("norm"))).alias("token"))
     return idf_weights(tokens, titles.agg(F.count("*").alias("n"))).select(
         "token", "titles", F.round("idf", 6).alias("idf")
     )
 
 
-@query("edit_ratio", f"""WITH t AS (
-      SELECT doc_id, {norm_sql("string_split(text, chr(10))[1]")} AS a,
-        {norm_sql("string_split(replace(text, 'an', ' e'), chr(10))[1]")} AS b FROM documents),
-    s AS (SELECT doc_id, substr(regexp_replace(a, '[^ -~]', '?', 'g'), 1, 500) AS a,
-                 substr(regexp_replace(b, '[^ -~]', '?', 'g'), 1, 500) AS b FROM t)
-    SELECT doc_id, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE
+@query("edit_ratio", f"""WITH {TEXT_SQL},
+    s AS (SELECT a.doc_id, a.line_no,
+            substr(regexp_replace({norm_sql('a.line')}, '[^ -~]', '?', 'g'), 1, 500) AS a,
+            substr(regexp_replace({norm_sql('b.line')}, '[^ -~]', '?', 'g'), 1, 500) AS b
+          FROM lines_a a JOIN lines_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no)
+    SELECT doc_id, line_no, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE
       ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ratio FROM s""")
 def edit_ratio(spark, sf_dir):
     # The check measures bytes, so other characters are replaced on both sides.
-    def title(c):
-        return F.regexp_replace(text.normalize_title(F.substring_index(c, "\n", 1)), "[^ -~]", "?")
-
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", title(F.col("text")).alias("a"),
-        title(F.replace("text", F.lit("an"), F.lit(" e"))).alias("b"),
+    title = F.regexp_replace(text.normalize_title(F.col("line")), "[^ -~]", "?")
+    a, b = line_sides(spark, sf_dir)
+    rows = a.select("doc_id", "line_no", title.alias("a")).join(
+        b.select("doc_id", "line_no", title.alias("b")), ["doc_id", "line_no"]
     )
-    return rows.select("doc_id", F.round(text.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    ratio = text.edit_ratio(F.col("a"), F.col("b"))
+    return rows.select("doc_id", "line_no", F.round(ratio, 6).alias("ratio"))
