@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sidematch.operators import align, stats
+from sidematch.operators import align
 from sidematch.session import materialize
 from sidematch.sources.reports import explode_lines
 from workload.pair_queries import COMPARE_ORDERS_SQL, compared_orders

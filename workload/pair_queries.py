@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sidematch.functions.dates import mask_dates
 from sidematch.operators import pairing
 from sidematch.operators.fuzzy import fuzzy_pairs
-from sidematch.operators.scan import CHUNK, choose_chunk
+from sidematch.operators.scan import choose_chunk
 from sidematch.operators.titles import match_titles as pair_titles
 from sidematch.sources.keyed import parse_keyed_rows
 from sidematch.sources.rules import Rule, resolve_rules

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table.  One that lies in fewer files than there are cores would be read by
-    as few tasks; only then its rows are dealt out before the work on them."""
+    """A table.  One so small that fewer tasks read it than there are cores is dealt
+    out to all of them before the work on its rows; larger ones stay as they are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _texts(spark, sf_dir, side):
