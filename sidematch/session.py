@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 # Rows of one group that a single task may sort and scan.
 MAX_GROUP_ROWS = 1 << 20
 
+_SHIPPED: set[str] = set()
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
@@ -56,3 +60,24 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Row count of the largest group (partial counts are combined map-side)."""
     row = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()
     return row["n"] or 0
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application.
+
+    Functions that run in Python workers are found by name there, and a worker's
+    path need not hold the folder the driver was started from.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="sidematch-"), "sidematch_package.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for root, _, files in os.walk(folder):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(root, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
