@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, quality, rans, urls, warc
+from . import jaccard_join, langid, packing, quality, rans, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +25,33 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(u, v) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, c.component_id
+FROM sets JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = doc_id
+"""
+
+
+@query("op2_ngram_jaccard_join", JACCARD_SQL)
+def ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_id")
+def language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_files")
 def token_files(spark, sf_dir):
     blocks = rans.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
