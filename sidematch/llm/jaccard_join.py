@@ -1,7 +1,8 @@
 """Near-duplicate documents: Jaccard join of word shingles, and its components.
 
-A document is the set of its shingles; equal sets are one class.  Shingles are ordered
-from rare to common, and two classes can only be linked if they share one of the first
+A document is the set of its shingles; equal sets are one class.  A class is searched
+only if enough of its shingles occur elsewhere.  Shingles are ordered from rare to
+common, and two classes can only be linked if they share one of the first
 quarter of either set.  In each such bucket
 
 1. every class is compared with one leader, which connects groups of near copies with
@@ -22,6 +23,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,14 @@ from .components import components
 
 WIDTH = 5
 PERCENT = 75
-# Shingles that move to the end of the order, most frequent first.  Where the list ends
-# changes how long the search takes, never its result.
-COMMON = 1 << 17
-COMMON_SALTS = 64
-COUNT_SHINGLES = 1 << 21
+# Shingles whose number of documents is known to the order, the most frequent first.
+# Where the list ends changes how long the search takes, never its result.
+COMMON = 1 << 22
+# From this number of documents on a bucket is dealt out in parts.
+HOT, HOT_PARTS = 4096, 64
+# Ids are sent to every task up to this number (8 bytes each), beyond it they are joined.
+BROADCAST_IDS = 1 << 20
+COUNT_SHINGLES = 1 << 22
 BLOCK = 256
 _U = np.uint64
 
@@ -73,45 +78,181 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def survey(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``kind, doc_id, name, n``: kind 0 has the class and set size of every document,
-    kind 1 the shingles met twice or more in a stretch of documents, with their number.
-    Counts miss at most one per stretch."""
+    """``doc_id, class, n``: the class and the set size of every document."""
     def run(batches):
-        held, size = [], 0
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()),
+                 pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "class", "n"])
 
-        def repeated():
-            h = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            n = np.diff(np.r_[first, len(h)])
-            twice = n > 1
-            names = h[first[twice]].view(np.int64)
-            return rows(1, [None] * len(names), names, n[twice])
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, class long, n long")
+
+
+def _zip(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(values.tobytes())
+
+
+def _unzip(packed: bytes, kind, n: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed, max_output_size=8 * n)
+    return np.frombuffer(raw, kind)
+
+
+PACKED = "kind int, part long, stretch long, n long, a binary, b binary"
 
-        def rows(kind, ids, names, n):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(names), kind, np.int32)), pa.array(ids, pa.int64()),
-                 pa.array(names, pa.int64()), pa.array(n, pa.int64())], names=["kind", "doc_id", "name", "n"])
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "part", "stretch", "n", "a", "b"])
+
+
+def occurrences(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """What is known of shingles by the upper 32 bits of their hash, packed in rows.
+
+    Documents are taken in stretches.  Kind 1: classes and sizes of a stretch; kind 0:
+    places in it and how many of their shingles (of one part of all names) stand in two
+    documents or more; kind 2: names in two documents or more, and in how many.
+    """
+    parts = 4 * max(1, docs.rdd.getNumPartitions())
+
+    def send(batches):
+        from pyspark import TaskContext
+
+        stretch, names, owners, classes = TaskContext.get().partitionId() << 24, [], [], []
+
+        def rows():
+            sizes = np.array([len(x) for x in names], np.int32)
+            h = np.concatenate(names)
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], np.repeat(np.arange(len(names), dtype=np.int32), sizes)[order]
+            part = (h.astype(np.uint64) * _U(parts) >> _U(32)).astype(np.int64)
+            edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(h)] if len(h) else [0]
+            out = [(1, stretch % parts, stretch, len(names), _zip(np.array(classes, np.int64)), _zip(sizes))]
+            for i, j in zip(edges[:-1], edges[1:]):
+                out.append((0, int(part[i]), stretch, int(j - i), _zip(np.diff(h[i:j], prepend=np.uint32(0))), _zip(owner[i:j])))
+            return _packed(out)
+
+        size = 0
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            yield rows(0, batch.column(0), [class_of(s) for s in sets], [len(s) for s in sets])
-            held += sets
-            size += sum(map(len, sets))
+            for text in batch.column(0).to_pylist():
+                own = shingles(text, width)
+                names.append((own >> _U(32)).astype(np.uint32))
+                classes.append(class_of(own))
+                size += len(own)
             if size > COUNT_SHINGLES:
-                yield repeated()
-                held, size = [], 0
-        if size:
-            yield repeated()
+                yield rows()
+                stretch, names, classes, size = stretch + 1, [], [], 0
+        if names:
+            yield rows()
+
+    def count(batches):
+        now, held = None, []
+
+        def rows():
+            u, n = np.unique(np.concatenate([h for _, h, _ in held]), return_counts=True) if held else (np.empty(0, np.uint32),) * 2
+            out = []
+            for stretch, h, owner in held:
+                k = np.bincount(owner[n[np.searchsorted(u, h)] > 1]) if len(h) else np.empty(0, np.int64)
+                at = np.flatnonzero(k)
+                if len(at):
+                    out.append((0, None, stretch, len(at), _zip(at.astype(np.int32)), _zip(k[at].astype(np.int32))))
+            twice = n > 1
+            if twice.any():
+                out.append((2, None, None, int(twice.sum()), _zip(np.diff(u[twice], prepend=np.uint32(0))),
+                            _zip(np.minimum(n[twice], np.iinfo(np.int32).max).astype(np.int32))))
+            return _packed(out)
+
+        for batch in batches:
+            for kind, part, stretch, n, a, b in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if part != now:
+                    yield rows()
+                    now, held = part, []
+                if kind:
+                    yield _packed([(kind, part, stretch, n, a, b)])
+                else:
+                    held.append((stretch, np.cumsum(_unzip(a, np.uint32, n), dtype=np.uint32), _unzip(b, np.int32, n)))
+        yield rows()
+
+    sent = map_batches(docs.select("text"), send, PACKED)
+    dealt = sent.repartition(max(parts // 4, docs.sparkSession.sparkContext.defaultParallelism), "part").sortWithinPartitions("part")
+    return materialize(map_batches(dealt, count, PACKED))
+
+
+def frequent(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``COMMON`` most frequent names and their numbers of documents, names rising;
+    equal numbers are in or out together."""
+    packed = known.where("kind = 2").select("n", "a", "b")
+
+    def totals(batches):
+        seen: dict[int, int] = {}
+        for batch in batches:
+            for n, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                for value, times in zip(*np.unique(_unzip(b, np.int32, n), return_counts=True)):
+                    seen[int(value)] = seen.get(int(value), 0) + int(times)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["docs", "k"])
+
+    upto = map_batches(packed, totals, "docs long, k long").groupBy("docs").agg(F.sum("k").alias("k")).selectExpr(
+        "docs", "sum(k) OVER (ORDER BY docs DESC) AS upto")
+    least = upto.where(F.col("upto") <= COMMON).agg(F.min("docs")).first()[0]
+    if least is None:
+        return np.empty(0, np.uint32), np.empty(0, np.int32)
+
+    def pick(batches):
+        for batch in batches:
+            for n, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                names, docs = np.cumsum(_unzip(a, np.uint32, n), dtype=np.uint32), _unzip(b, np.int32, n)
+                names, docs = names[docs >= least], docs[docs >= least]
+                if len(names):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([len(names)]), pa.array([_zip(np.diff(names, prepend=np.uint32(0)))]), pa.array([_zip(docs)])],
+                        names=["n", "a", "b"])
+
+    # at most COMMON names come to the driver, a few bytes each
+    rows = map_batches(packed, pick, "n long, a binary, b binary").collect()
+    names = np.concatenate([np.cumsum(_unzip(r["a"], np.uint32, r["n"]), dtype=np.uint32) for r in rows])
+    order = np.argsort(names)
+    return names[order], np.concatenate([_unzip(r["b"], np.int32, r["n"]) for r in rows])[order]
+
+
+def candidates(known: DataFrame, percent: int) -> DataFrame:
+    """``class``: those of whose shingles the share that a link needs stands elsewhere too."""
+    def run(batches):
+        now, classes, sizes, shared_ = None, None, None, None
 
-    return map_batches(docs.select("doc_id", "text"), run, "kind int, doc_id long, name long, n long")
+        def rows():
+            enough = shared_ >= -(-percent * sizes // 100) if now is not None else np.empty(0, bool)
+            found = classes[enough & (sizes > 0)] if now is not None else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["class"])
 
+        for batch in batches:
+            for stretch, n, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if stretch != now:
+                    yield rows()
+                    now, classes, sizes = stretch, _unzip(a, np.int64, n), _unzip(b, np.int32, n).astype(np.int64)
+                    shared_ = np.zeros(len(sizes), np.int64)
+                else:
+                    shared_[_unzip(a, np.int32, n)] += _unzip(b, np.int32, n)
+        yield rows()
 
-def postings(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
-    """``shingle, class, first, hot``: the rarest shingles of every class.
+    spark = known.sparkSession
+    dealt = known.where("kind < 2").repartition(spark.sparkContext.defaultParallelism, "stretch").sortWithinPartitions("stretch", F.desc("kind"))
+    return materialize(map_batches(dealt.select("stretch", "n", "a", "b"), run, "class long").distinct())
 
-    ``common`` is a broadcast of hashes in rising order and their counts.  ``first``
-    marks the ones in which the smaller set of a linked pair must meet the other set.
-    """
+
+def texts_of(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``text``: that of one document of each of ``classes``.  Ids that stand on several
+    rows may bring further texts, or the same again."""
+    ids = materialize(members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("_id")).select("_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+
+
+def postings(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
+    """``shingle, class, n, hot``: the rarest shingles of every class, and its size.
+    ``common`` is a broadcast of what ``frequent`` returns."""
     def run(batches):
         known, counts = common.value
         seen = set()
@@ -125,64 +266,55 @@ def postings(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(name)
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                weight = np.where(known[at] == h, counts[at], 0) if len(known) else np.zeros(n, np.int64)
-                probe = n - -(-percent * n // 100) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
+                short = (h >> _U(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(known, short), max(len(known) - 1, 0))
+                weight = np.where(known[at] == short, counts[at], 0) if len(known) else np.zeros(n, np.int64)
                 # an order by weight, then hash; hashes are sorted already
-                order = np.argsort(weight, kind="stable")[:probe]
+                order = np.argsort(weight, kind="stable")[:n - -(-percent * n // 100) + 1]
                 out[0].append(h[order].view(np.int64))
                 out[1].append(np.full(len(order), name, np.int64))
-                out[2].append(np.arange(len(order)) < index)
-                out[3].append(weight[order] > 0)
+                out[2].append(np.full(len(order), n, np.int32))
+                out[3].append(weight[order] >= HOT)
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in out], names=["shingle", "class", "first", "hot"])
+                    [pa.array(np.concatenate(c)) for c in out], names=["shingle", "class", "n", "hot"])
 
-    return map_batches(docs.select("text"), run, "shingle long, class long, first boolean, hot boolean")
+    return map_batches(docs.select("text"), run, "shingle long, class long, n int, hot boolean")
 
 
 def shared(found: DataFrame) -> DataFrame:
-    """The postings of buckets with two classes or more, and the bucket's leader: the
-    smallest class that has the shingle among its first ones.
-
-    Common shingles are dealt out in parts, the leaders of the parts compared after.
-    """
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("class"), F.lit(COMMON_SALTS))).otherwise(0)
+    """The postings of buckets with two classes or more, and the bucket's leader, its
+    smallest class.  Common shingles are dealt out in parts and put together after."""
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("class"), F.lit(HOT_PARTS))).otherwise(0)
     bucket = Window.partitionBy("shingle", "_salt")
-    found = (
+    found = materialize(
         found.withColumn("_salt", salt)
-        .withColumn("_low", F.min("class").over(bucket)).withColumn("_high", F.max("class").over(bucket))
-        .withColumn("leader", F.min(F.when(F.col("first"), F.col("class"))).over(bucket))
-        .where("hot OR (_low <> _high AND leader IS NOT NULL)")
-        .select("shingle", "class", "first", "hot", "leader").distinct()
-    )
-    found = materialize(found)
+        .withColumn("leader", F.min("class").over(bucket)).withColumn("_high", F.max("class").over(bucket))
+        .where("hot OR leader <> _high").select("shingle", "class", "n", "hot", "leader").distinct())
     hot = found.where("hot")
-    leaders = hot.groupBy("shingle").agg(
-        F.min("leader").alias("_l"), F.min("class").alias("_low"), F.max("class").alias("_high")
-    ).where("_l IS NOT NULL AND _low <> _high").select("shingle", "_l")
-    hot = hot.join(leaders, "shingle").select("shingle", "class", "first", F.col("_l").alias("leader"))
-    return materialize(found.where("NOT hot").select("shingle", "class", "first", "leader").union(hot))
+    leaders = hot.groupBy("shingle").agg(F.min("class").alias("_l"), F.max("class").alias("_high")).where(
+        "_l <> _high").select("shingle", "_l")
+    hot = hot.join(leaders, "shingle").select("shingle", "class", "n", F.col("_l").alias("leader"))
+    return materialize(found.where("NOT hot").select("shingle", "class", "n", "leader").union(hot))
 
 
-def sets_of(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``class, items``: the sets of ``classes``, from one document each."""
-    chosen = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def least_common(n, m, percent: int):
+    """Rare shingles that two linked sets of these sizes share at least: what they must
+    share in all, less what lies beyond the rare ones of the larger set."""
+    most = F.greatest(n, m)
+    return F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9) - F.ceil(percent * most / 100.0 - 1e-9) + 1
 
+
+def sets_of(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``class, items``: the sets of ``classes``; see ``texts_of``."""
     def run(batches):
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([class_of(s) for s in sets], pa.int64()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["class", "items"])
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "items"])
 
-    made = map_batches(texts.select("text"), run, "class long, items array<long>")
-    # a document id may stand on several rows with other texts
-    return materialize(made.join(classes, "class", "left_semi").dropDuplicates(["class"]))
+    return materialize(map_batches(texts_of(docs, members, classes), run, "class long, items array<long>"))
 
 
 def divide_skip(query: np.ndarray, index: tuple[np.ndarray, np.ndarray], sets: list[np.ndarray],
@@ -267,54 +399,53 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    surveyed = materialize(survey(docs, width))
-    members = surveyed.where("kind = 0").select("doc_id", F.col("name").alias("class"), "n")
-    frequent = (
-        surveyed.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "name").limit(COMMON).toPandas()
-    )
-    known = frequent["name"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    common = spark.sparkContext.broadcast((known[order], frequent["n"].to_numpy(np.int64)[order]))
-    buckets = shared(postings(docs, common, width, percent))
-    sets = sets_of(docs, members, buckets.select("class").distinct(), width)
-    a, b = sets.toDF("leader", "_a"), sets.toDF("class", "_b")
-    same = F.size(F.array_intersect("_a", "_b"))
+    members = materialize(survey(docs, width))
+    known = occurrences(docs, width)
+    common = spark.sparkContext.broadcast(frequent(known))
+    buckets = shared(postings(texts_of(docs, members, candidates(known, percent)), common, width, percent))
+    led = buckets.join(buckets.select(F.col("class").alias("leader"), F.col("n").alias("_n")).distinct(), "leader")
+    pairs = materialize(
+        led.where("leader <> class").groupBy("leader", "class", "n", "_n").agg(F.count("*").alias("_k"))
+        .where(F.col("_k") >= least_common(F.col("n"), F.col("_n"), percent)).select("leader", "class"))
+    wanted = pairs.select("class").union(pairs.select("leader")).distinct()
+    sets = sets_of(docs, members, wanted, width)
     near = (
-        buckets.where("leader <> class").select("leader", "class").distinct().join(a, "leader").join(b, "class")
-        .where(100 * F.least(F.size("_a"), F.size("_b")) >= percent * F.greatest(F.size("_a"), F.size("_b")))
-        .withColumn("_same", same)
+        pairs.join(sets.toDF("leader", "_a"), "leader").join(sets.toDF("class", "_b"), "class")
+        .withColumn("_same", F.size(F.array_intersect("_a", "_b")))
         .where(100 * F.col("_same") >= percent * (F.size("_a") + F.size("_b") - F.col("_same")))
     )
     links = materialize(near.select(F.col("leader").alias("u"), F.col("class").alias("v")))
-    labels = components(links)
     # what the leaders left apart: classes of one bucket in different components
-    placed = buckets.select("shingle", "class", "first").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
-        "label", F.coalesce("label", "class"))
+    labels = components(links).select(F.col("node").alias("class"), "label")
     sizes = labels.groupBy("label").agg(F.count("*").alias("_size"))
-    placed = placed.join(sizes, "label", "left").withColumn("_size", F.coalesce("_size", F.lit(1)))
+    placed = (
+        buckets.select("shingle", "class", "n").join(labels, "class", "left")
+        .withColumn("label", F.coalesce("label", "class")).join(sizes, "label", "left")
+        .withColumn("_size", F.coalesce("_size", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("_size") / BLOCK)).cast("int"))
+    )
     mixed = placed.groupBy("shingle").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("shingle")
-    placed = materialize(placed.join(mixed, "shingle").withColumn(
-        "block", F.pmod(F.xxhash64("class"), F.ceil(F.col("_size") / BLOCK)).cast("int")))
-    blocks = placed.groupBy("shingle", "label", "block", "_size").agg(F.max("first").alias("_f"))
-    blocks = blocks.toDF("shingle", "_ml", "_mb", "_ms", "_mf")
-    asked = materialize(
-        placed.join(blocks, "shingle")
-        .where("(first OR _mf) AND (_ms > _size OR (_ms = _size AND _ml > label))")
-        .select("class", F.col("_ml").alias("label"), F.col("_mb").alias("block")).distinct())
-    chunks = asked.groupBy("label", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_chunks"))
+    placed = materialize(placed.join(mixed, "shingle"))
+    blocks = placed.groupBy("shingle", "label", "block", "_size").agg(F.count("*").alias("_k")).drop("_k")
+    spans = placed.groupBy("label", "block").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+    met = (
+        placed.join(blocks.toDF("shingle", "_ml", "_mb", "_ms"), "shingle")
+        .where("_ms > _size OR (_ms = _size AND _ml > label)")
+        .groupBy("class", "n", F.col("_ml").alias("label"), F.col("_mb").alias("block")).agg(F.count("*").alias("_k"))
+    )
+    # between the ends rounding may ask for one less
+    fewest = F.least(*(least_common(F.col("n"), F.col(c), percent) for c in ("_least", "_most"))) - 1
+    asked = materialize(met.join(spans, ["label", "block"]).where(F.col("_k") >= fewest).select("class", "label", "block"))
+    chunks = asked.groupBy("label", "block").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_chunks"))
     queries = asked.join(chunks, ["label", "block"]).select(
         F.xxhash64("label", "block", F.pmod(F.xxhash64("class"), F.col("_chunks"))).alias("cell"), F.lit(True).alias("query"), "class")
     inside = (
-        sets.select("class").join(labels.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("label", F.coalesce("label", "class")).join(sizes, "label", "left")
-        .withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.coalesce("_size", F.lit(1)) / BLOCK)).cast("int"))
-        .join(chunks, ["label", "block"])
-        .select("label", "block", "class", 
-                F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks").cast("long") - 1)).alias("_chunk"))
+        placed.select("class", "label", "block").distinct().join(chunks, ["label", "block"])
+        .select("label", "block", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_chunk"))
         .select(F.xxhash64("label", "block", "_chunk").alias("cell"), F.lit(False).alias("query"), "class")
     )
-    cells = queries.union(inside).join(sets, "class")
+    rows = materialize(queries.union(inside))
+    cells = rows.join(sets_of(docs, members, rows.select("class").distinct(), width), "class")
     more = materialize(search(cells, percent))
     final = components(links.union(more))
     named = members.join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
