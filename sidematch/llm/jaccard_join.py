@@ -7,10 +7,10 @@ quarter of either set.  In each such bucket
 
 1. every class is compared with one leader, which connects groups of near copies with
    as many comparisons as members;
-2. what is still unconnected is found by T-occurrence search: members of a component
-   form blocks with an inverted index, and each class that shares a bucket with a block
-   merges the short lists on a heap and probes the long ones (DivideSkip) until a member
-   reaches the required overlap.
+2. what is still unconnected is found by T-occurrence search: classes that hang together
+   by buckets form blocks with an inverted index, and each class that shares enough
+   rare shingles with a block merges the short lists on a heap and probes the long ones
+   (DivideSkip) for members of larger components that reach the required overlap.
 
 No step lists all pairs of a bucket, and every link between classes that step 1 left
 unconnected is found by step 2.
@@ -318,8 +318,9 @@ def sets_of(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int)
 
 
 def divide_skip(query: np.ndarray, index: tuple[np.ndarray, np.ndarray], sets: list[np.ndarray],
-                percent: int = PERCENT) -> int | None:
-    """A member of ``sets`` that is linked with ``query``, or None.
+                groups: list, asked: set, percent: int = PERCENT) -> list[int]:
+    """Members of ``sets`` that are linked with ``query``: one of each of the ``groups`` in
+    ``asked`` that has any.
 
     ``index``: hashes in rising order and the member that has each.  A linked member
     shares at least ``T`` of the query's hashes; the ``T - 1`` longest lists cannot hold
@@ -330,17 +331,16 @@ def divide_skip(query: np.ndarray, index: tuple[np.ndarray, np.ndarray], sets: l
     low, high = np.searchsorted(known, query, "left"), np.searchsorted(known, query, "right")
     size = high - low
     if int((size > 0).sum()) < need:
-        return None
+        return []
     order = np.argsort(size, kind="stable")
-    short, long_ = order[:len(order) - need + 1], query[order[len(order) - need + 1:]]
-    long_ = np.sort(long_)
+    short, long_ = order[:len(order) - need + 1], np.sort(query[order[len(order) - need + 1:]])
     lists = [owners[low[i]:high[i]].tolist() for i in short if size[i]]
-    last, count = None, 0
+    last, count, done, found = None, 0, set(), []
     for member in [*heapq.merge(*lists), None]:
         if member == last:
             count += 1
             continue
-        if last is not None:
+        if last is not None and groups[last] in asked and groups[last] not in done:
             own = sets[last]
             # it has to reach the overlap that both sizes ask for
             overlap = -(-percent * (len(own) + len(query)) // (100 + percent))
@@ -348,45 +348,47 @@ def divide_skip(query: np.ndarray, index: tuple[np.ndarray, np.ndarray], sets: l
                 at = np.searchsorted(own, long_)
                 count += int((own[np.minimum(at, len(own) - 1)] == long_).sum())
                 if count >= overlap:
-                    return last
+                    found.append(last)
+                    done.add(groups[last])
         last, count = member, 1
-    return None
+    return found
 
 
 def search(cells: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: at most one link of each query of a cell with the cell's members.
+    """``u, v``: links of the queries of a cell with its members, one for each component
+    that comes after the query's in the order of size and label.
 
-    ``cells``: ``cell, query, class, items``; the rows of a cell stand together in one
-    task, members first, and are read one after the other.
+    ``cells``: ``cell, query, class, size, label, items``; the rows of a cell stand
+    together in one task, members first, and are read one after the other.
     """
     def run(batches):
-        cell, names, sets, index = None, [], [], None
+        cell, names, sets, groups, index = None, [], [], [], None
         for batch in batches:
             u, v = [], []
             # the offsets of a list array count in all of its values
-            items, offsets = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            for (key, query, name), start, stop in zip(rows, offsets[:-1], offsets[1:]):
+            items, offsets = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+            rows = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            for (key, query, name, size, label), start, stop in zip(rows, offsets[:-1], offsets[1:]):
                 own = items[start:stop].view(np.uint64)
                 if key != cell:
-                    cell, names, sets, index = key, [], [], None
+                    cell, names, sets, groups, index = key, [], [], [], None
                 if not query:
                     names.append(name)
                     sets.append(own.copy())
+                    groups.append((size, label))
                     continue
                 if index is None:
                     known = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                     by = np.lexsort((owner, known))
                     index = known[by], owner[by]
-                hit = divide_skip(own, index, sets, percent)
-                if hit is not None:
+                for hit in divide_skip(own, index, sets, groups, {g for g in set(groups) if g > (size, label)}, percent):
                     u.append(name)
                     v.append(names[hit])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     dealt = cells.repartition(max(2 * cells.sparkSession.sparkContext.defaultParallelism, 16), "cell").sortWithinPartitions("cell", "query")
-    return map_batches(dealt.select("cell", "query", "class", "items"), run, "u long, v long")
+    return map_batches(dealt.select("cell", "query", "class", "size", "label", "items"), run, "u long, v long")
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -415,34 +417,39 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         .where(100 * F.col("_same") >= percent * (F.size("_a") + F.size("_b") - F.col("_same")))
     )
     links = materialize(near.select(F.col("leader").alias("u"), F.col("class").alias("v")))
-    # what the leaders left apart: classes of one bucket in different components
+    # what the leaders left apart: classes that share a bucket, in different components
     labels = components(links).select(F.col("node").alias("class"), "label")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("_size"))
-    placed = (
-        buckets.select("shingle", "class", "n").join(labels, "class", "left")
-        .withColumn("label", F.coalesce("label", "class")).join(sizes, "label", "left")
-        .withColumn("_size", F.coalesce("_size", F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("_size") / BLOCK)).cast("int"))
-    )
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    family = components(buckets.where("leader <> class").select(F.col("leader").alias("u"), F.col("class").alias("v")).distinct())
+    family = family.select(F.col("node").alias("class"), F.col("label").alias("family"))
+    counts = family.groupBy("family").agg(F.count("*").alias("_classes"))
+    # blocks are parts of what hangs together by buckets, so that one block holds most of a bucket
+    known_of = materialize(
+        family.join(counts, "family").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        .join(sizes, "label", "left").select(
+            "class", "family", F.pmod(F.xxhash64("class"), F.ceil(F.col("_classes") / BLOCK)).cast("int").alias("block"),
+            F.coalesce("size", F.lit(1).cast("long")).alias("size"), "label"))
+    placed = buckets.select("shingle", "class", "n").join(known_of, "class")
     mixed = placed.groupBy("shingle").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l <> _h").select("shingle")
     placed = materialize(placed.join(mixed, "shingle"))
-    blocks = placed.groupBy("shingle", "label", "block", "_size").agg(F.count("*").alias("_k")).drop("_k")
-    spans = placed.groupBy("label", "block").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+    blocks = placed.groupBy("shingle", "block").agg(
+        F.max(F.struct("size", "label")).alias("_last"), F.min("n").alias("_least"), F.max("n").alias("_most"))
     met = (
-        placed.join(blocks.toDF("shingle", "_ml", "_mb", "_ms"), "shingle")
-        .where("_ms > _size OR (_ms = _size AND _ml > label)")
-        .groupBy("class", "n", F.col("_ml").alias("label"), F.col("_mb").alias("block")).agg(F.count("*").alias("_k"))
+        placed.join(blocks.withColumnRenamed("block", "_block"), "shingle").where(F.col("_last") > F.struct("size", "label"))
+        .groupBy("class", "n", "family", "size", "label", "_block")
+        .agg(F.count("*").alias("_k"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
     )
     # between the ends rounding may ask for one less
     fewest = F.least(*(least_common(F.col("n"), F.col(c), percent) for c in ("_least", "_most"))) - 1
-    asked = materialize(met.join(spans, ["label", "block"]).where(F.col("_k") >= fewest).select("class", "label", "block"))
-    chunks = asked.groupBy("label", "block").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_chunks"))
-    queries = asked.join(chunks, ["label", "block"]).select(
-        F.xxhash64("label", "block", F.pmod(F.xxhash64("class"), F.col("_chunks"))).alias("cell"), F.lit(True).alias("query"), "class")
+    asked = materialize(met.where(F.col("_k") >= fewest).select("class", "family", "size", "label", F.col("_block").alias("block")))
+    chunks = asked.groupBy("family", "block").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_chunks"))
+    queries = asked.join(chunks, ["family", "block"]).select(
+        F.xxhash64("family", "block", F.pmod(F.xxhash64("class"), F.col("_chunks"))).alias("cell"), F.lit(True).alias("query"),
+        "class", "size", "label")
     inside = (
-        placed.select("class", "label", "block").distinct().join(chunks, ["label", "block"])
-        .select("label", "block", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_chunk"))
-        .select(F.xxhash64("label", "block", "_chunk").alias("cell"), F.lit(False).alias("query"), "class")
+        known_of.join(chunks, ["family", "block"])
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_chunk"))
+        .select(F.xxhash64("family", "block", "_chunk").alias("cell"), F.lit(False).alias("query"), "class", "size", "label")
     )
     rows = materialize(queries.union(inside))
     cells = rows.join(sets_of(docs, members, rows.select("class").distinct(), width), "class")

@@ -85,8 +85,9 @@ def test_divide_skip(seed):
     for _ in range(60):
         query = np.unique(np.concatenate([sets[rng.integers(40)], rng.integers(0, 60, 3).astype(np.uint64)]))
         want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, query)) >= 75 * len(np.union1d(s, query))}
-        hit = jj.divide_skip(query, (known[by], owner[by]), sets)
-        assert (hit in want) if want else hit is None
+        groups, asked = [i % 7 for i in range(40)], {0, 2, 3, 5}
+        hits = jj.divide_skip(query, (known[by], owner[by]), sets, groups, asked)
+        assert set(hits) <= want and sorted(groups[i] for i in hits) == sorted({groups[i] for i in want} & asked)
 
 
 def test_components(spark):
