@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, packing, quality, rans, urls, warc
+from . import decontam, jaccard_join, langid, license, lm_score, packing, quality, rans, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -25,10 +25,16 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_lm_score")
+def lm_scores(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM words),
@@ -58,6 +64,18 @@ def token_files(spark, sf_dir):
     return rans.read(spark, blocks)
 
 
+def files_of(docs):
+    """Documents as files: a folder per source, and most of them in one of 50 below it."""
+    inside = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/")))
+    return docs.select(
+        F.col("doc_id").alias("file_id"), F.concat("source", F.lit("/"), inside, "doc_id", F.lit(".txt")).alias("path"), "text")
+
+
+@query("op5_license_scan")
+def license_scan(spark, sf_dir):
+    return license.scan(files_of(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+
+
 QUALITY_SQL = r"""
 WITH words AS (
   SELECT doc_id, text, source,
@@ -159,6 +177,11 @@ def url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op8_benchmark_decontamination")
+def benchmark_decontamination(spark, sf_dir):
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 heads AS (SELECT html, max(page_id) AS head FROM p GROUP BY html)
