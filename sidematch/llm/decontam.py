@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-Texts become templates: numbers, capitalised names inside a sentence and units behind a
+Texts become templates: numbers, capitalised names inside a sentence (not words in capitals) and units behind a
 number turn into typed placeholders, everything else into lower-case words.  Windows of
 an item's template meet equal windows of documents in a hash join.  Where enough of them
 lie on one line of positions, what fills the placeholders is compared: a re-parameterised
@@ -29,7 +29,7 @@ UNITS = ("mm|cm|m|km|in|ft|mi|mg|g|kg|lb|oz|ml|l|s|ms|min|h|hr|hz|khz|mhz|w|kw|v
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 NUMBER = _EDGE + _NUMBER + _END
-NAME = r"(?<=[\p{L}\p{N},;]\s)\p{Lu}\p{L}*+(?!\p{N})"
+NAME = r"(?<=[\p{L}\p{N},;]\s)\p{Lu}\p{Ll}++(?![\p{L}\p{N}])"
 UNIT = _EDGE + "(" + _NUMBER + r")\x20?(?:(?i:" + UNITS + r")" + _END + "|[%€$£])"
 # placeholders cannot be words of the text: numbers have become 0 before
 A_NUMBER, A_NAME, A_UNIT = "0", "1n", "1u"

@@ -1,9 +1,9 @@
 """Licences of files: own headers first, else the nearest directory above with a licence file.
 
 Lines and whole texts are compared with templates by the cosine of their TF-IDF vectors.
-A line can only reach the threshold if it has one of a template's heaviest terms - those
-without which the rest of the template is too short a vector - so lines without any are
-left out before anything is weighed.  Inheritance joins the directories above a file with
+A text can only reach the threshold if it has one of a template's telling terms: the
+other terms together are too short a vector.  So what has none of them is left out before
+anything is weighed.  Inheritance joins the directories above a file with
 the directories that have a licence file.
 """
 
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from sidematch.session import materialize
 
-HEADER = 0.6
+HEADER = 0.7
 # Share of a text that has to be licence for the file to speak for its directory.
-FILE = 0.6
+FILE = 0.7
 
 # licence, text of its usual notice
 TEMPLATES = (
@@ -34,6 +34,9 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 
+# words too common to look for, where the others suffice
+COMMON = frozenset("a an and are as at be by for form from in is it of on or that the this to use was with work code source".split())
+
 TERM = r"[a-z0-9]+(?:[.-][0-9a-z]+)*"
 
 
@@ -48,11 +51,13 @@ def weights(templates: Sequence[tuple[str, str]], threshold: float):
         raw = {t: n * idf[t] for t, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         rest = 1.0
-        for term, x in sorted(raw.items(), key=lambda e: (-e[1], e[0])):
+        # heaviest first, common words only if the rest would still reach the threshold
+        for term, x in sorted(raw.items(), key=lambda e: (len(e[0]) == 1 or e[0] in COMMON, -e[1], e[0])):
             rows.append((name, term, x / norm))
-            if rest >= threshold * threshold:
+            common = len(term) == 1 or term in COMMON
+            if not common or rest >= threshold * threshold:
                 anchors.add(term)
-                rest -= (x / norm) ** 2
+            rest -= (x / norm) ** 2
     return rows, idf, math.log(1 + len(terms)) + 1, sorted(anchors)
 
 

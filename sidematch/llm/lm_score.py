@@ -21,7 +21,7 @@ from .common import map_batches
 VOCABULARY = 1 << 15
 # Pairs of words that both models keep, the most frequent of all documents; the rest
 # is read from single words.  Bounds what is sent to every task.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 SMOOTHING = 4.0
 PRIOR = 0.5
 COUNT_TOKENS = 1 << 22
@@ -125,16 +125,18 @@ def train(docs: DataFrame) -> tuple[dict[bytes, int], Models]:
 
     def sums(key):
         # one row per word of the vocabulary
-        rows = pairs.groupBy(key.alias("k")).agg(F.sum("target").alias("t"), F.sum("n").alias("n")).toPandas()
+        rows = pairs.groupBy(key.alias("k")).agg(F.sum("target").alias("t"), F.sum("n").alias("n")).toArrow()
         out = np.zeros((2, size))
-        out[:, rows["k"].to_numpy(int)] = rows[["t", "n"]].to_numpy(float).T
+        out[:, rows["k"].to_numpy()] = rows["t"].to_numpy(), rows["n"].to_numpy()
         return out
 
     single, context = sums(F.col("pair") % size), sums(F.floor(F.col("pair") / size).cast("long"))
     often = pairs.groupBy("n").agg(F.count("*").alias("k")).selectExpr("n", "sum(k) OVER (ORDER BY n DESC) AS upto")
     least = often.where(F.col("upto") <= PAIRS).agg(F.min("n")).first()[0]
-    top = pairs.where(F.col("n") >= least if least else F.lit(False)).toPandas().sort_values("pair")
-    return words, Models(size, single, context, top["pair"].to_numpy(np.int64), top[["target", "n"]].to_numpy(float).T)
+    top = pairs.where(F.col("n") >= least if least else F.lit(False)).toArrow()
+    order = np.argsort(top["pair"].to_numpy())
+    counts = np.stack([top["target"].to_numpy(), top["n"].to_numpy()])[:, order]
+    return words, Models(size, single, context, top["pair"].to_numpy()[order], counts)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
