@@ -30,8 +30,8 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"),
 )
 
 # words too common to look for, where the others suffice

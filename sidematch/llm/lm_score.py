@@ -22,6 +22,8 @@ VOCABULARY = 1 << 15
 # Pairs of words that both models keep, the most frequent of all documents; the rest
 # is read from single words.  Bounds what is sent to every task.
 PAIRS = 1 << 19
+# Target ids are sent to every task up to this number (8 bytes each), beyond it they are joined.
+BROADCAST_IDS = 1 << 20
 SMOOTHING = 4.0
 PRIOR = 0.5
 COUNT_TOKENS = 1 << 22
@@ -150,6 +152,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    good = materialize(good)
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     marked = docs.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     shared = spark.sparkContext.broadcast(train(marked))
 
