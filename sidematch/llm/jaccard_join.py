@@ -464,6 +464,14 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component, with all columns.  Of
     rows that share an id and their text one stays."""
-    ids = materialize(join(docs)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    found = materialize(join(docs)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
+    few = found.count() <= BROADCAST_IDS
+
+    def rows_of(ids):
+        ids = ids.select("_id")
+        return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+    # only ids that stand on several rows need their texts compared
+    several = rows_of(found.where("_n > 1")).withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return rows_of(found.where("_n = 1")).unionByName(several)
