@@ -25,6 +25,8 @@ VERSION = b"WARC/1.1\r\n"
 RANGE_BYTES = 8 << 20
 STEP_BYTES = 1 << 20
 FILE_ROWS = 20_000
+# Repeated payloads are sent to every task up to this number (80 bytes each), beyond it joined.
+BROADCAST_HEADS = 1 << 17
 DATE = "1970-01-01T00:00:00Z"
 
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, "
@@ -84,6 +86,8 @@ def write(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .select("_key", "_head")
     )
     # the texts meet short rows that name only repeated payloads
+    heads = materialize(heads)
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads
     marked = pages.withColumn("_key", F.sha2(payload, 256)).join(heads, "_key", "left").select(
         "page_id", "url", "html",
         F.when(F.col("page_id").eqNullSafe(F.col("_head")), None).otherwise(F.col("_head")).alias("_head"))
