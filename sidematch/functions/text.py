@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +26,6 @@ TITLE_STOP_WORDS = [
     "to", "by", "at", "as", "or", "if", "is",
 ]
 
-# Fixed value: longest title or name that is compared by edit distance.
-EDIT_LIMIT = 500
-
 
 def strip(c: Column) -> Column:
     """Drop white space at both ends (``trim`` would only drop spaces)."""
@@ -62,9 +60,11 @@ def title_tokens(c: Column) -> Column:
     )
 
 
-def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length, on at most ``EDIT_LIMIT`` characters."""
-    a, b = F.substring(a, 1, EDIT_LIMIT), F.substring(b, 1, EDIT_LIMIT)
+def edit_ratio(a: Column, b: Column, limit: int | None = None) -> Column:
+    """1 - edit distance / longer length, of whole texts or of their first ``limit``
+    characters."""
+    if limit is not None:
+        a, b = F.substring(a, 1, limit), F.substring(b, 1, limit)
     longest = F.greatest(F.length(a), F.length(b))
     return (
         F.when(a == b, F.lit(1.0))
@@ -75,11 +75,11 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def java_regex(pattern: str) -> str:
     """A Python pattern in Java's dialect: named groups, end anchor, ``\\n`` as
-    the only line end."""
+    the only line end, classes and case of all of Unicode."""
     out = re.sub(r"\(\?P<", "(?<", pattern)
     out = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", out)
     out = out.replace(r"\Z", r"\z")
-    return f"(?d){out}"
+    return f"(?dUu){out}"
 
 
 def search(c: Column, pattern: str) -> Column:
@@ -92,13 +92,35 @@ def match_start(c: Column, pattern: str) -> Column:
 
 
 def matched_value(c: Column, pattern: str) -> Column:
-    """What the pattern captured: group 1 when the pattern has groups and one took
-    part, else the whole match; NULL without a match."""
+    """What the pattern captured: group 1 when any group took part (NULL if that was
+    only a later one), else the whole match; NULL without a match."""
     java = java_regex(pattern)
-    n_groups = re.compile(pattern).groups
     whole = F.regexp_substr(c, F.lit(java))
+    n_groups = re.compile(pattern).groups
     if not n_groups:
         return whole
-    groups = [F.regexp_extract(c, java, i + 1) for i in range(n_groups)]
-    took_part = F.concat(*groups) != ""
-    return F.when(whole.isNotNull() & took_part, groups[0]).otherwise(whole)
+    return (
+        F.when(c.rlike(took_part(java, [1])), F.regexp_extract(c, java, 1))
+        .when(c.rlike(took_part(java, range(1, n_groups + 1))), F.lit(None).cast("string"))
+        .otherwise(whole)
+    )
+
+
+# An escape, a class, or the opening of a capturing group.
+PIECES = re.compile(r"\\(\d+)|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?!\?)|\(\?<(?![=!])\w+>", re.S)
+
+
+def took_part(java: str, groups: Iterable[int]) -> str:
+    """A pattern that is found where one of ``groups`` takes part in the first match of
+    ``java``.
+
+    Every group gets an empty group inside.  A reference to an empty group holds
+    anywhere once it took part, and nowhere if it did not.
+    """
+    def marked(m: re.Match) -> str:
+        if m[1] and m[1][0] != "0":
+            return rf"(?:\{2 * int(m[1]) - 1})"
+        return m[0] + "()" if m[0].startswith("(") else m[0]
+
+    refs = "|".join(rf"\{2 * i}" for i in groups)
+    return rf"\A(?>[\s\S]*?(?:{PIECES.sub(marked, java)}))(?:{refs})"

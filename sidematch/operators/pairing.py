@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidematch.functions.keys import sort_value
-from sidematch.operators.scan import CHUNK, Chunk, number_rows, spread_join
+from sidematch.operators.scan import CHUNK, Chunk, number_rows, slice_of, spread_join
 from sidematch.operators.stats import Normalize, compared, diff_columns, line_stats, similarity_pct
 
 
@@ -40,22 +40,32 @@ def pair_rows(
     """Full outer pairing on ``keys``, the k-th row of a key with the k-th (``occ``).
     Other columns come out as ``x_a`` and ``x_b``, with a ``status``.
 
-    The join key holds ``occ``, so a key with a third of all rows still spreads.
-    ``unique`` skips the ranking for keys known to occur once per side.
+    Both sides are ranked in one shuffle and meet in a second one, on the key and
+    ``occ``, so a key with a third of all rows still spreads.  NULL keys pair like any
+    other value.  ``unique`` skips the ranking for keys known to occur once per side.
     """
     def side(df: DataFrame, tag: str) -> DataFrame:
         rest = [c for c in df.columns if c not in keys]
-        if unique:
-            df = df.withColumn("occ", F.lit(1).cast("long"))
-        else:
-            df = number_rows(df, keys, pos, "occ", chunk)
         return df.select(
-            *keys, "occ", *[F.col(c).alias(f"{c}_{tag}") for c in rest],
-            F.lit(True).alias(f"_in_{tag}"),
+            F.struct(*keys).alias("_key"), F.lit(tag).alias("_side"), F.col(pos).alias("_pos"),
+            (F.lit(0) if chunk is None else slice_of(pos, chunk)).alias("_cut"),
+            F.struct(F.lit(True).alias("_here"), *rest).alias(f"_{tag}"),
         )
 
-    pairs = side(a, "a").join(side(b, "b"), [*keys, "occ"], "full")
-    status = status_of(F.col("_in_a").isNotNull(), F.col("_in_b").isNotNull())
+    rows = side(a, "a").unionByName(side(b, "b"), allowMissingColumns=True)
+    if unique:
+        rows = rows.withColumn("occ", F.lit(1).cast("long"))
+    else:
+        rows = number_rows(rows, ["_key", "_side"], "_pos", "occ", None if chunk is None else F.col("_cut"))
+    pairs = rows.groupBy("_key", "occ").agg(
+        F.first("_a", ignorenulls=True).alias("_a"), F.first("_b", ignorenulls=True).alias("_b")
+    ).select(
+        *[F.col("_key")[k].alias(k) for k in keys], "occ",
+        *[F.col("_a")[c].alias(f"{c}_a") for c in a.columns if c not in keys],
+        *[F.col("_b")[c].alias(f"{c}_b") for c in b.columns if c not in keys],
+        F.col("_a").isNotNull().alias("_in_a"), F.col("_b").isNotNull().alias("_in_b"),
+    )
+    status = status_of(F.col("_in_a"), F.col("_in_b"))
     return pairs.withColumn("status", status).drop("_in_a", "_in_b")
 
 

@@ -10,8 +10,8 @@ computes the same running values in two levels:
    slices are taken, and they are joined back to the rows on ``(group, slice)``.
 
 The rows are shuffled once, evenly; the summaries are ``1/chunk`` of them.  With
-``chunk=None`` the caller states that it has checked the largest group
-(``choose_chunk``) and one plain window is used.
+``chunk=None`` the caller states that every group fits one task, and one plain window
+is used.
 """
 
 from __future__ import annotations
@@ -22,17 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sidematch.session import MAX_GROUP_ROWS, largest_group
-
 CHUNK = 1 << 16
 SLICE = "_slice"
 
 
-def choose_chunk(df: DataFrame, by: Sequence[str], limit: int = MAX_GROUP_ROWS) -> int | None:
-    """None when every group is small enough for one task, else the slice width."""
-    return None if largest_group(df, by) <= limit else CHUNK
-
-
 # Slice width in positions, a slice number that grows with the position, or None.
 Chunk = int | Column | None
 

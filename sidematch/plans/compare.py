@@ -18,7 +18,7 @@ from sidematch.functions.text import search
 from sidematch.operators import align, blocks, pages, pairing, rollup, stats
 from sidematch.operators.fuzzy import NAME_THRESHOLD, fuzzy_pairs
 from sidematch.operators.pages import non_blank
-from sidematch.operators.scan import CHUNK, Chunk, choose_chunk
+from sidematch.operators.scan import CHUNK, Chunk
 from sidematch.session import materialize
 from sidematch.sources import rules as rule_columns
 from sidematch.sources.keyed import parse_keyed_rows
@@ -154,7 +154,7 @@ def compare(
     texts = texts.select(*SIDES, "text")
 
     paged, repeating = parse(texts, rules, options.ignore_lines)
-    chunk = choose_chunk(paged, ["side", "pair_id"])
+    chunk = CHUNK
     body = paged.where("role = 'body'").drop("role")
     filled = materialize(non_blank(body))
     groups = ready.select("pair_id")
@@ -212,7 +212,7 @@ def compare(
         parsed = materialize(parsed.select("side", "pair_id", "key", "pos", "sort_vals", "line"))
         rows = materialize(pairing.compare_rows(
             side(parsed, "A"), side(parsed, "B"), ["pair_id", "key"], "pos", normalize,
-            chunk=choose_chunk(parsed, ["side", "pair_id", "key"]),
+            chunk=chunk,
         ))
         view = filled.where(~rule_columns.has(rules, "key_slices"))
     if options.keep_blank:
@@ -257,7 +257,7 @@ def extract(
     filled = non_blank(parsed.where("role = 'body'"))
     found = blocks.transactions(
         filled, sort_key, rule_columns.max_lines(rules), SIDES, "pos",
-        choose_chunk(filled, ["side", "pair_id"]), has_blanks=False,
+        CHUNK, has_blanks=False,
     )
     alone = pair_name(F.col("file_name"), F.lit(""), F.lit("exact"))
     names = own.select("side", "pair_id", F.concat_ws("_", "side", alone).alias("extract_name"))

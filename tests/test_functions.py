@@ -1,5 +1,7 @@
 """Text, date and key functions, rules and keyed rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,18 @@ def test_rules(spark, tmp_path):
         path.write_text(RULES.splitlines()[0] + "\n" + bad + "\n")
         with pytest.raises(ValueError, match="row 2"):
             read_rules(spark, str(path))
+
+
+@pytest.mark.parametrize("pattern, line", [
+    (r"^\w+ \d", "Étude 7"), (r"(?i)^étude", "ÉTUDE 7"), (r"(?i)straße (\w+)", "STRAßE Öl"), (r"\bÖl\b", "das Öl."),
+    (r"^(?:INV|BILL) (\d*)", "INV "), (r"^(?:INV|BILL) (\d*)", "BILL 7"), (r"(a)?b", "b"), (r"(a)?b", "xab"),
+    (r"(x)|(y)", "y"), (r"(x)|(y)", "yx"), (r"(?P<n>\d+)-(?P=n)", "a 12-12"), (r"(\w)\1", "aabb"), (r"(b)(\w)\2", "bcc"),
+    (r"[(](\d)?[)]", "f()"), (r"[(](\d)?[)]", "f(3)"), (r"\((\d)?\)", "f()"), (r"[]()](z)?", "a)"),
+    (r"(?=(a))?b", "b"), (r"(?:(a)|b)+", "ba"), (r"no (match)", "nothing"), (r"(a(b)?)+c", "abac"), (r"x$|(\d)", "1x"),
+])
+def test_captured_value_as_in_python(spark, pattern, line):
+    found = re.search(pattern, line)
+    want = found and (found.group(1) if found.lastindex else found.group(0))
+    row = spark.createDataFrame([(line,)], "line string")
+    assert row.select(text.matched_value(F.col("line"), pattern)).first()[0] == want
+    assert row.select(text.search(F.col("line"), pattern)).first()[0] == bool(found)

@@ -31,14 +31,14 @@ def ratio(a, b):
     return 1 - distance(a, b) / max(len(a), len(b), 1)
 
 
-@pytest.mark.parametrize("few", [3, 100_000])
-def test_fuzzy_pairs(spark, few):
+@pytest.mark.parametrize("least", [0.3, 0.7])
+def test_fuzzy_pairs(spark, least):
     rng = random.Random(2)
     a = {"".join(rng.choice("abc1_") for _ in range(rng.randint(1, 14))) + ".txt" for _ in range(45)}
     b = {"".join(rng.choice("abc1_") if rng.random() < 0.2 else c for c in x) for x in sorted(a)} - a
     b |= {"q" + x for x in sorted(a)[:9]} | {"zzzz"}
     scored = sorted(
-        ((ratio(x, y), x, y) for x in a for y in b if ratio(x, y) >= 0.7), key=lambda t: (-t[0], t[1], t[2])
+        ((ratio(x, y), x, y) for x in a for y in b if ratio(x, y) >= least), key=lambda t: (-t[0], t[1], t[2])
     )
     want, used = {}, set()
     for r, x, y in scored:
@@ -46,7 +46,7 @@ def test_fuzzy_pairs(spark, few):
             want[x] = (y, round(r, 4))
             used.add(y)
     names = [spark.createDataFrame([(x,) for x in sorted(s)], "name string") for s in (a, b)]
-    got = {r.name_a: (r.name_b, round(r.ratio, 4)) for r in fuzzy_pairs(*names, few=few).collect()}
+    got = {r.name_a: (r.name_b, round(r.ratio, 4)) for r in fuzzy_pairs(*names, least).collect()}
     assert got == want
     one = [spark.createDataFrame([(f"report_v{i}.txt",)], "name string") for i in (1, 2)]
     assert [(r.name_b, r.ratio) for r in fuzzy_pairs(*one).collect()] == [("report_v2.txt", 0.9231)]
@@ -57,8 +57,8 @@ def tokens(title, stops=("the", "of")):
     return sorted({w for w in words if w not in stops} or set(words) or {title})
 
 
-def title_turns(a, b, threshold=0.6):
-    """Every A title scores every free B title, keeps ten, takes the closest."""
+def title_turns(a, b, keep, threshold=0.6):
+    """Every A title scores every free B title, keeps some or all, takes the closest."""
     sets_a, sets_b = [tokens(t) for t in a], [tokens(t) for t in b]
     both = sets_a + sets_b
     weight = {
@@ -74,12 +74,12 @@ def title_turns(a, b, threshold=0.6):
             j: round(math.fsum(weight[t] ** 2 for t in mine if t in sets_b[j]) / norm(mine) / norm(sets_b[j]), 12)
             for j in free
         }
-        top = sorted(((s, j) for j, s in scored.items() if s > 0), reverse=True)[:10]
+        top = sorted(((s, j) for j, s in scored.items() if s > 0), reverse=True)[:keep]
         if not top:
             size = max(len(title), 1)
             top = sorted(
                 ((min(size, max(len(b[j]), 1)) / max(size, len(b[j]), 1), j) for j in free), reverse=True
-            )[:10]
+            )[:keep]
         best = max(((ratio(title, b[j]), -k, j) for k, (_, j) in enumerate(top)), default=(0, 0, None))
         choice = best[2] if best[0] >= threshold else None
         free.discard(choice)
@@ -87,7 +87,8 @@ def title_turns(a, b, threshold=0.6):
     return out
 
 
-def test_assign():
+@pytest.mark.parametrize("keep", [10, None])
+def test_assign(keep):
     rng = random.Random(9)
     for _ in range(300):
         size = rng.choice([3, 8, 40])
@@ -95,10 +96,11 @@ def test_assign():
             [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, size))]
             for _ in range(2)
         )
-        assert assign(a, [tokens(t) for t in a], b, [tokens(t) for t in b], 0.6) == title_turns(a, b)
+        assert assign(a, [tokens(t) for t in a], b, [tokens(t) for t in b], 0.6, keep) == title_turns(a, b, keep)
 
 
-def test_match_titles(spark):
+@pytest.mark.parametrize("keep", [10, None])
+def test_match_titles(spark, keep):
     rng = random.Random(4)
     groups = {"same": (["Page 0", "Page 1", "Page 12"], ["Page 12", "Page 1", "Page 0", "Page 3"])}
     groups["golden"] = (["Page 1", "Page 2"], ["Page 2"])
@@ -116,10 +118,10 @@ def test_match_titles(spark):
         for k in range(2)
     ]
     got = {}
-    for r in match_titles(*sides, ["pair"]).collect():
+    for r in match_titles(*sides, ["pair"], top=keep).collect():
         got.setdefault(r.pair, set()).add((r.ordinal_a, r.ordinal_b, r.status))
     for g, (a, b) in groups.items():
-        taken = title_turns([t.lower() for t in a], [t.lower() for t in b])
+        taken = title_turns([t.lower() for t in a], [t.lower() for t in b], keep)
         want = {(i, j, "removed" if j is None else "matched") for i, j in enumerate(taken)}
         want |= {(None, j, "added") for j in range(len(b)) if j not in taken}
         assert got[g] == want, g
@@ -198,3 +200,14 @@ def test_line_stats_mirror(spark):
     assert stats.line_stats(a, a, ["pair"]).first().similarity_ratio == 1.0
     only = {(r.side, r.line, r.copies) for r in stats.lines_only_in(a, b, ["pair"]).collect()}
     assert only == {("A", "y", 1), ("B", "x", 1), ("B", "z", 1)}
+
+
+def test_null_keys_pair_in_two_shuffles(spark):
+    rows = [(None, 1, "x"), (None, 2, "y"), ("k", 3, "z"), (None, 200_000, "far")]
+    a, b = (spark.createDataFrame(r, "key string, pos long, v string") for r in (rows, rows[:3]))
+    pairs = pairing.pair_rows(a, b, ["key"], "pos")
+    got = sorted((str(r.key), r.occ, r.v_a, str(r.v_b), r.status) for r in pairs.collect())
+    assert got == [("None", 1, "x", "x", "matched"), ("None", 2, "y", "y", "matched"),
+                   ("None", 3, "far", "None", "removed"), ("k", 1, "z", "z", "matched")]
+    plan = pairing.pair_rows(a, b, ["key"], "pos", chunk=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sidematch.functions.dates import mask_dates
 from sidematch.operators import pairing
 from sidematch.operators.fuzzy import fuzzy_pairs
-from sidematch.operators.scan import choose_chunk
 from sidematch.operators.titles import match_titles as pair_titles
 from sidematch.sources.keyed import parse_keyed_rows
 from sidematch.sources.rules import Rule, resolve_rules
@@ -95,8 +94,7 @@ def compared_orders(spark, sf_dir):
         parse_keyed_rows(order_lines(spark, sf_dir, s), ORDER_KEYS, by=["doc_id"])[0] for s in "AB"
     ]
     rows = [df.select("doc_id", "key", "line_no", "line", "sort_vals") for df in sides]
-    chunk = choose_chunk(rows[0].unionByName(rows[1]), ["doc_id", "key"])
-    return pairing.compare_rows(*rows, ["doc_id", "key"], chunk=chunk, normalize=mask_dates)
+    return pairing.compare_rows(*rows, ["doc_id", "key"], normalize=mask_dates)
 
 
 COMPARE_ORDERS_SQL = f"""{ORDER_SQL},
@@ -132,11 +130,7 @@ def changed_fields(spark, sf_dir):
 
 def paired_items(spark, sf_dir):
     a, b = items(spark, sf_dir, "A"), items(spark, sf_dir, "B")
-    # The largest order decides whether its rows are ranked in slices.
-    small = choose_chunk(a, ["l_orderkey"]) is None and choose_chunk(b, ["l_orderkey"]) is None
-    return pairing.pair_rows(
-        a, b, ["l_orderkey"], "place", chunk=None if small else item_slice()
-    )
+    return pairing.pair_rows(a, b, ["l_orderkey"], "place", chunk=item_slice())
 
 
 ITEM_PAIRS_SQL = f"""{ITEM_SQL},
@@ -162,12 +156,15 @@ def compare_rows_dup(spark, sf_dir):
         l_partkey_b::VARCHAR AS value_b FROM ip
         WHERE status = 'matched' AND l_partkey_a IS DISTINCT FROM l_partkey_b
       UNION ALL
+      SELECT l_orderkey, occ, 'l_quantity', l_quantity_a::VARCHAR, l_quantity_b::VARCHAR FROM ip
+        WHERE status = 'matched' AND l_quantity_a IS DISTINCT FROM l_quantity_b
+      UNION ALL
       SELECT l_orderkey, occ, 'l_returnflag', l_returnflag_a, l_returnflag_b FROM ip
         WHERE status = 'matched' AND l_returnflag_a IS DISTINCT FROM l_returnflag_b)
     SELECT * FROM d""")
 def changed_columns(spark, sf_dir):
     return pairing.changed_columns(
-        paired_items(spark, sf_dir), ["l_orderkey", "occ"], ["l_partkey", "l_returnflag"]
+        paired_items(spark, sf_dir), ["l_orderkey", "occ"], ["l_partkey", "l_quantity", "l_returnflag"]
     )
 
 

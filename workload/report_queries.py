@@ -11,7 +11,7 @@ from sidematch.session import materialize
 from sidematch.sources.reports import explode_lines
 from workload.registry import query
 from workload.sides import REPORT_SQL, report_docs
-from workload.text_queries import DATE_SQL, STATS_SQL, WS, doc_chunk, mask_sql, strip_sql
+from workload.text_queries import DATE_SQL, STATS_SQL, SLICE_LINES, WS, mask_sql, strip_sql
 
 SPLIT = r"PAGE (\d+)"
 SORT = r"^TXN (\d+)"
@@ -24,7 +24,7 @@ NB = f"regexp_matches(line, '[^{WS}]')"
 def reports(spark, sf_dir):
     """Report documents, their lines, and the slice width for them."""
     docs = report_docs(spark, sf_dir)
-    return docs, explode_lines(docs), doc_chunk(docs)
+    return docs, explode_lines(docs), SLICE_LINES
 
 
 def _trim_sql(source, block, out):

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from sidematch.functions import dates, keys, text
 from sidematch.operators import stats
 from sidematch.operators.pages import drop_matching, non_blank
-from sidematch.operators.scan import CHUNK
-from sidematch.session import MAX_GROUP_ROWS
 from sidematch.sources.reports import explode_lines
 from workload.registry import query
 from workload.sides import TEXT_SQL, table, text_docs
@@ -38,12 +36,8 @@ STATS_SQL = """
          round((na + nb - 2 * common)::DOUBLE / greatest(na, nb, 1) * 100, 2) AS change_pct"""
 
 
-def doc_chunk(docs):
-    """Slice width for lines of whole texts: none when no text has more lines than a
-    task may hold.  Counts line ends in the text, nothing is exploded."""
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    most = docs.agg(F.max(lines)).first()[0] or 0
-    return None if most <= MAX_GROUP_ROWS else CHUNK
+# Lines per slice: short, so that the slices of most documents must be put together.
+SLICE_LINES = 64
 
 
 def line_sides(spark, sf_dir):
@@ -158,7 +152,7 @@ def text_cosine(spark, sf_dir):
     docs = [text_docs(spark, sf_dir, s) for s in "AB"]
     a, b = (explode_lines(d, ["doc_id"]) for d in docs)
     return stats.text_cosine(
-        a, b, ["doc_id"], stop_words=STOPS, chunk=doc_chunk(docs[0].unionByName(docs[1]))
+        a, b, ["doc_id"], stop_words=STOPS, chunk=SLICE_LINES
     )
 
 
@@ -263,8 +257,8 @@ def title_tokens_idf(spark, sf_dir):
 
 @query("edit_ratio", f"""WITH {TEXT_SQL},
     s AS (SELECT a.doc_id, a.line_no,
-            substr(regexp_replace({norm_sql('a.line')}, '[^ -~]', '?', 'g'), 1, 500) AS a,
-            substr(regexp_replace({norm_sql('b.line')}, '[^ -~]', '?', 'g'), 1, 500) AS b
+            regexp_replace({norm_sql('a.line')}, '[^ -~]', '?', 'g') AS a,
+            regexp_replace({norm_sql('b.line')}, '[^ -~]', '?', 'g') AS b
           FROM lines_a a JOIN lines_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no)
     SELECT doc_id, line_no, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE
       ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ratio FROM s""")
