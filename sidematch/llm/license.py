@@ -12,9 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidematch.session import materialize
@@ -61,23 +61,46 @@ def weights(templates: Sequence[tuple[str, str]], threshold: float):
     return rows, idf, math.log(1 + len(terms)) + 1, sorted(anchors)
 
 
-def cosines(units: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """``unit, license, score``: the best template of every unit (``unit, body``) at ``threshold``."""
-    spark = units.sparkSession
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def best_template(body: Column, templates: Sequence[tuple[str, str]], threshold: float) -> Column:
+    """``struct(score, place)`` of the best template of ``body`` at ``threshold``, else null;
+    ``place`` falls along the licences by name, so that of equals the first is largest.
+
+    Equal terms are neighbours once sorted, and the length of such a run is the term's
+    count.  So a text is weighed within its row and never shuffled.
+    """
     rows, idf, unknown, _ = weights(templates, threshold)
-    # a row per term of a template
-    table = spark.createDataFrame([(l, t, w, idf[t]) for l, t, w in rows], "license string, term string, _w double, _idf double")
-    terms = units.select("unit", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(f"({TERM})"), 1)).alias("term"))
-    terms = terms.groupBy("unit", "term").agg(F.count("*").alias("_n"))
-    known = table.select("term", "_idf").distinct()
-    terms = terms.join(F.broadcast(known), "term", "left").withColumn("_x", F.col("_n") * F.coalesce("_idf", F.lit(unknown)))
-    norms = terms.groupBy("unit").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
-    dots = terms.where("_idf IS NOT NULL").join(F.broadcast(table.drop("_idf")), "term").groupBy("unit", "license").agg(
-        F.sum(F.col("_x") * F.col("_w")).alias("_dot"))
-    scored = dots.join(norms, "unit").select("unit", "license", F.round(F.col("_dot") / F.col("_norm"), 6).alias("score")).where(
-        F.col("score") >= threshold)
-    best = scored.groupBy("unit").agg(F.max("score").alias("score"))
-    return scored.join(best, ["unit", "score"]).groupBy("unit", "score").agg(F.min("license").alias("license"))
+    known = sorted(idf)
+    names = sorted({name for name, _, _ in rows})
+
+    def counted(terms):
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(
+            F.get(terms, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(terms)) - p).cast("double").alias("n"))))
+
+    def weighed(counts):
+        others = F.aggregate(
+            F.filter(counts, lambda c: ~c["term"].isin(known)), F.lit(0.0), lambda total, c: total + c["n"] * c["n"])
+        found = F.map_from_entries(F.filter(counts, lambda c: c["term"].isin(known)))
+        raw = let(found, lambda n: F.array(*(F.coalesce(F.try_element_at(n, F.lit(t)), F.lit(0.0)) * idf[t] for t in known)))
+        return let(raw, lambda x: F.struct(x.alias("raw"), F.sqrt(
+            others * (unknown * unknown) + F.aggregate(x, F.lit(0.0), lambda total, y: total + y * y)).alias("norm")))
+
+    def best(x):
+        scores = [
+            F.struct(
+                F.round(sum(F.get(x["raw"], F.lit(known.index(t))) * w for name, t, w in rows if name == license) / x["norm"], 6)
+                .alias("score"), F.lit(-place).alias("place"))
+            for place, license in enumerate(names)]
+        return F.array_max(F.filter(F.array(*scores), lambda s: s["score"] >= threshold))
+
+    terms = F.sort_array(F.regexp_extract_all(F.lower(body), F.lit(f"({TERM})"), 1))
+    return let(terms, lambda t: F.when(F.size(t) > 0, let(let(counted(t), weighed), best)))
 
 
 def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
@@ -94,22 +117,15 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
     anchors = weights(templates, min(header, file))[3]
     has = rf"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors))})(?![a-z0-9])"
     files = files.select("file_id", "path", "text").withColumn("path", F.col("path").cast("string"))
-    texts = materialize(files.where(F.col("text").rlike(has)).select("text").distinct().select(
-        F.xxhash64("text").alias("_t"), "text"))
-    lines = texts.select("_t", F.explode(F.split("text", "\n")).alias("body")).where(F.col("body").rlike(has))
-    lines = lines.distinct().withColumn("unit", F.struct("_t", F.xxhash64("body").alias("b")))
-    of_lines = cosines(lines.select("unit", "body"), templates, header).select(
-        F.col("unit._t").alias("_t"), "license", "score", F.lit(False).alias("_whole"))
-    of_files = cosines(texts.select(F.struct("_t").alias("unit"), F.col("text").alias("body")), templates, file).select(
-        F.col("unit._t").alias("_t"), "license", "score", F.lit(True).alias("_whole"))
-    found = materialize(of_lines.union(of_files).groupBy("_t").agg(
-        F.max_by("license", F.struct(F.col("_whole"), "score", F.expr("transform(split(license, ''), c -> -ascii(c))"))).alias("license"),
-        F.max(F.struct("_whole", "score")).alias("_best")))
-    own = materialize(
-        files.select("file_id", "path", F.when(F.col("text").rlike(has), F.xxhash64("text")).alias("_t"))
-        .join(found, "_t", "left").select(
-            "file_id", "path", "license", F.col("_best._whole").alias("_whole"), F.col("_best.score").alias("score"),
-            F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("_dir")))
+    whole = best_template(F.col("text"), templates, file)
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(has))
+    found = files.withColumn("_file", F.when(F.col("text").rlike(has), whole)).withColumn("_best", F.coalesce(
+        "_file", F.when(F.col("text").rlike(has), F.array_max(F.transform(lines, lambda line: best_template(line, templates, header))))))
+    names = F.array(*map(F.lit, sorted({name for name, _ in templates})))
+    own = materialize(found.select(
+        "file_id", "path", F.get(names, -F.col("_best.place")).alias("license"),
+        F.when(F.col("_best").isNotNull(), F.col("_file").isNotNull()).alias("_whole"), F.col("_best.score").alias("score"),
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("_dir")))
     dirs = own.where("_whole AND path IS NOT NULL").groupBy("_dir").agg(
         F.max("score").alias("_s"), F.min_by(F.struct("file_id", "license"), F.struct(-F.col("score"), "path", "file_id")).alias("_f"))
     bare = own.where("license IS NULL AND path IS NOT NULL").select("path", "_dir").distinct()
