@@ -116,11 +116,19 @@ class Models:
         return -np.log2((seen + SMOOTHING * self.word[:, word]) / (self.context[:, before] + SMOOTHING))
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, ``limit`` at most: rows of equal ``n``
+    are all in or all out."""
+    often = counts.groupBy("n").agg(F.count("*").alias("k")).selectExpr("n", "sum(k) OVER (ORDER BY n DESC) AS upto")
+    least = often.where(F.col("upto") <= limit).agg(F.min("n")).first()[0]
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def train(docs: DataFrame) -> tuple[dict[bytes, int], Models]:
     """Vocabulary and models of ``docs`` (``text, target``), counted over all rows."""
     spark = docs.sparkSession
-    kept = count_words(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = {bytes(r["word"]): i + 1 for i, r in enumerate(kept)}
+    kept = most_frequent(materialize(count_words(docs)), VOCABULARY).toArrow()["word"].to_pylist()
+    words = {word: i + 1 for i, word in enumerate(sorted(kept))}
     size = len(words) + 2
     shared = spark.sparkContext.broadcast(words)
     pairs = materialize(count_pairs(docs, shared))
@@ -133,9 +141,7 @@ def train(docs: DataFrame) -> tuple[dict[bytes, int], Models]:
         return out
 
     single, context = sums(F.col("pair") % size), sums(F.floor(F.col("pair") / size).cast("long"))
-    often = pairs.groupBy("n").agg(F.count("*").alias("k")).selectExpr("n", "sum(k) OVER (ORDER BY n DESC) AS upto")
-    least = often.where(F.col("upto") <= PAIRS).agg(F.min("n")).first()[0]
-    top = pairs.where(F.col("n") >= least if least else F.lit(False)).toArrow()
+    top = most_frequent(pairs, PAIRS).toArrow()
     order = np.argsort(top["pair"].to_numpy())
     counts = np.stack([top["target"].to_numpy(), top["n"].to_numpy()])[:, order]
     return words, Models(size, single, context, top["pair"].to_numpy()[order], counts)
