@@ -5,83 +5,99 @@ Both have the same vocabulary, order and smoothing, and the background's counts
 scaled to the size of the target, so that the losses of a token differ only by what the
 two corpora say about it.  A document's score is the mean difference of its tokens'
 losses: the lower, the more it is like the target.
+
+The models hold every word and every pair of neighbouring words.  They stay in tables:
+the pairs of a document meet their losses in a join.  Only the most frequent pairs are
+sent to tasks, so that a pair that is everywhere is not shuffled; they have the same
+losses there.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidematch.session import materialize
 from .common import map_batches
 
-# Words of the shared vocabulary, the most frequent of all documents; the rest is one word.
-VOCABULARY = 1 << 15
-# Pairs of words that both models keep, the most frequent of all documents; the rest
-# is read from single words.  Bounds what is sent to every task.
-PAIRS = 1 << 19
+# The most frequent pairs and words are sent to every task (24 and 40 bytes each), the others
+# are joined; the losses are the same.
+NEAR_PAIRS = 1 << 19
+NEAR_WORDS = 1 << 14
 # Target ids are sent to every task up to this number (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 SMOOTHING = 4.0
 PRIOR = 0.5
 COUNT_TOKENS = 1 << 22
+# Names of words that a task remembers.
+NAMES = 1 << 19
+# Rows of a task's documents, counted from the task's number times this.
+TASK_ROWS = 1 << 36
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """``word, n`` over all texts, added up within tasks first."""
-    def run(batches):
-        from collections import Counter
+class Names(dict):
+    """64-bit names of words."""
 
-        total = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(words_of(text))
-            if len(total) > COUNT_TOKENS // 4:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-                total = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-
-    return map_batches(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def coded(texts: list[str | None], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``before * size + word`` of all texts and the number of words of each.
-    The first word of a text stands behind a mark of its own; 0 is any other word."""
-    size = len(words) + 2
-    ids = [[words.get(w, 0) for w in words_of(t)] for t in texts]
-    n = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+    def __missing__(self, word: bytes) -> int:
+        name = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        if len(self) < NAMES:
+            self[word] = name
+        return name
+
+
+# no word has white space
+START = Names()[b" "]
+
+
+def named(texts: list[str | None], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all pairs, of the word before in each, and the number of words of each text.
+    The first word of a text stands behind a mark of its own.  A pair's name is the name
+    before, crossed with the word's, which is turned by one bit."""
+    words = [words_of(t) for t in texts]
+    n = np.array([len(x) for x in words], np.int64)
+    flat = np.fromiter((names[w] for x in words for w in x), np.int64, int(n.sum()))
     before = np.empty_like(flat)
     before[1:] = flat[:-1]
     starts = np.cumsum(n) - n
-    before[starts[n > 0]] = size - 1
-    return before * size + flat, n
+    before[starts[n > 0]] = START
+    bits = flat.view(np.uint64)
+    turned = (bits << np.uint64(1)) | (bits >> np.uint64(63))
+    return before ^ turned.view(np.int64), before, n
+
 
+def word_of(pair, before):
+    """The name of a pair's second word."""
+    turned = pair.bitwiseXOR(before)
+    return F.shiftrightunsigned(turned, 1).bitwiseOR(F.shiftleft(turned, 63))
 
-def count_pairs(docs: DataFrame, words) -> DataFrame:
-    """``pair, n, target`` over all texts (``text, target``), added up within tasks first."""
+
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """``pair, before, n, target`` over all texts (``text, target``), added up within tasks first."""
     def run(batches):
-        held, size = [], 0
+        names, held, size = Names(), [], 0
 
         def rows():
-            pair, aim = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            pair, before, aim = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((before, pair))
+            pair, before = pair[order], before[order]
+            first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (before[1:] != before[:-1])])
             n = np.diff(np.r_[first, len(pair)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(pair[first]), pa.array(n), pa.array(np.add.reduceat(aim[order].astype(np.int64), first))],
-                names=["pair", "n", "target"])
+                [pa.array(pair[first]), pa.array(before[first]), pa.array(n), pa.array(np.add.reduceat(aim[order].astype(np.int64), first))],
+                names=["pair", "before", "n", "target"])
 
         for batch in batches:
-            pair, n = coded(batch.column(0).to_pylist(), words.value)
-            held.append((pair, np.repeat(np.array(batch.column(1).to_pylist(), bool), n)))
+            pair, before, n = named(batch.column(0).to_pylist(), names)
+            held.append((pair, before, np.repeat(np.array(batch.column(1).to_pylist(), bool), n)))
             size += len(pair)
             if size > COUNT_TOKENS:
                 yield rows()
@@ -89,62 +105,54 @@ def count_pairs(docs: DataFrame, words) -> DataFrame:
         if size:
             yield rows()
 
-    return map_batches(docs.select("text", "target"), run, "pair long, n long, target long").groupBy("pair").agg(
+    return map_batches(docs.select("text", "target"), run, "pair long, before long, n long, target long").groupBy("pair", "before").agg(
         F.sum("n").alias("n"), F.sum("target").alias("target"))
 
 
-class Models:
-    """Log2 losses under both models, from counts of pairs and of single words."""
-
-    def __init__(self, size: int, single: np.ndarray, context: np.ndarray, pair: np.ndarray, counts: np.ndarray):
-        """``single``, ``context`` and ``counts`` have a row for target and background."""
-        total = single.sum(1)
-        scale = np.array([1.0, total[0] / total[1] if total[1] else 0.0])
-        self.size, self.pair, self.scale = size, pair, scale
-        self.word = (single * scale[:, None] + PRIOR) / (total * scale + PRIOR * size)[:, None]
-        self.context = context * scale[:, None]
-        self.counts = counts * scale[:, None]
-
-    def losses(self, pair: np.ndarray) -> np.ndarray:
-        """Rows target, background: bits of the second word of each pair."""
-        before, word = pair // self.size, pair % self.size
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
-            seen = np.where(self.pair[at] == pair, self.counts[:, at], 0.0)
-        else:
-            seen = np.zeros((2, len(pair)))
-        return -np.log2((seen + SMOOTHING * self.word[:, word]) / (self.context[:, before] + SMOOTHING))
-
-
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of ``counts`` with the largest ``n``, ``limit`` at most: rows of equal ``n``
-    are all in or all out."""
+def least_frequent(counts: DataFrame, limit: int) -> int | None:
+    """The smallest ``n`` of the rows of ``counts`` with the largest ones, ``limit`` rows at
+    most: rows of equal ``n`` are all in or all out.  None if there are none."""
     often = counts.groupBy("n").agg(F.count("*").alias("k")).selectExpr("n", "sum(k) OVER (ORDER BY n DESC) AS upto")
-    least = often.where(F.col("upto") <= limit).agg(F.min("n")).first()[0]
-    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
-
-
-def train(docs: DataFrame) -> tuple[dict[bytes, int], Models]:
-    """Vocabulary and models of ``docs`` (``text, target``), counted over all rows."""
-    spark = docs.sparkSession
-    kept = most_frequent(materialize(count_words(docs)), VOCABULARY).toArrow()["word"].to_pylist()
-    words = {word: i + 1 for i, word in enumerate(sorted(kept))}
-    size = len(words) + 2
-    shared = spark.sparkContext.broadcast(words)
-    pairs = materialize(count_pairs(docs, shared))
-
-    def sums(key):
-        # one row per word of the vocabulary
-        rows = pairs.groupBy(key.alias("k")).agg(F.sum("target").alias("t"), F.sum("n").alias("n")).toArrow()
-        out = np.zeros((2, size))
-        out[:, rows["k"].to_numpy()] = rows["t"].to_numpy(), rows["n"].to_numpy()
-        return out
-
-    single, context = sums(F.col("pair") % size), sums(F.floor(F.col("pair") / size).cast("long"))
-    top = most_frequent(pairs, PAIRS).toArrow()
-    order = np.argsort(top["pair"].to_numpy())
-    counts = np.stack([top["target"].to_numpy(), top["n"].to_numpy()])[:, order]
-    return words, Models(size, single, context, top["pair"].to_numpy()[order], counts)
+    return often.where(F.col("upto") <= limit).agg(F.min("n")).first()[0]
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """``pair, n, loss_target, loss_background`` of every pair in ``docs`` (``text, target``),
+    and the smallest ``n`` of the pairs to be sent to tasks."""
+    pairs = materialize(count_pairs(docs))
+    named_pairs = pairs.withColumn("word", word_of(F.col("pair"), F.col("before")))
+    # a name once as a word and once as the word before
+    sides = [
+        named_pairs.groupBy(F.col(key).alias("name")).agg(
+            *(F.sum(c).alias(a) if key == k else F.lit(0).cast("long").alias(a)
+              for k, c, a in (("word", "n", "n"), ("word", "target", "target"), ("before", "n", "after_n"), ("before", "target", "after_target"))))
+        for key in ("word", "before")]
+    words = materialize(sides[0].union(sides[1]).groupBy("name").agg(
+        *(F.sum(c).alias(c) for c in ("n", "target", "after_n", "after_target"))))
+    size, total, aimed = words.agg(F.count_if(F.col("n") > 0), F.sum("n"), F.sum("target")).first()
+    scale = (aimed or 0) / (total or 1)
+    least = least_frequent(words, NEAR_WORDS)
+    near = words.where(F.lit(False) if least is None else F.col("n") >= least)
+
+    def look_up(rows, key, **columns):
+        """``rows`` with columns of the word named by ``key``; frequent words are not shuffled."""
+        def of(table):
+            return table.select(F.col("name").alias(key), *(F.col(c).alias(a) for a, c in columns.items()))
+
+        others = rows.join(F.broadcast(of(near).select(key)), key, "left_anti")
+        return rows.join(F.broadcast(of(near)), key).unionByName(others.join(of(words), key))
+
+    known = look_up(named_pairs, "word", word_n="n", word_target="target")
+    known = look_up(known, "before", after_n="after_n", after_target="after_target")
+
+    def loss(seen, word, after, scale):
+        share = (F.col(word) * scale + PRIOR) / (float(aimed or 0) + PRIOR * size)
+        return -F.log2((F.col(seen) * scale + SMOOTHING * share) / (F.col(after) * scale + SMOOTHING))
+
+    priced = known.select(
+        "pair", "n", loss("target", "word_target", "after_target", 1.0).alias("loss_target"),
+        loss("n", "word_n", "after_n", scale).alias("loss_background"))
+    return priced, least_frequent(pairs, NEAR_PAIRS)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,7 +161,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Target documents are those with a row ``quality = 1`` in ``labels``.  A text that is
     null or has no word has no losses (null); repeated rows count again; without target
-    documents both models fall back to equal odds; an empty table gives none.
+    documents both models fall back to equal odds; an empty table gives none.  Words and
+    pairs are named by 64 bits.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -161,21 +170,56 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = materialize(good)
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     marked = docs.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    shared = spark.sparkContext.broadcast(train(marked))
+    priced, least = train(marked)
+    is_near = F.lit(False) if least is None else F.col("n") >= least
+    near = priced.where(is_near).select("pair", "loss_target", "loss_background").toArrow()
+    order = np.argsort(near["pair"].to_numpy())
+    shared = spark.sparkContext.broadcast(
+        (near["pair"].to_numpy()[order], np.stack([near["loss_target"].to_numpy(), near["loss_background"].to_numpy()])[:, order]))
 
     def run(batches):
-        words, models = shared.value
+        keys, losses = shared.value
+        names, row = Names(), TaskContext.get().partitionId() * TASK_ROWS
+        fields = ["row", "pair", "k", "doc_id", "n_tokens", "near_target", "near_background"]
         for batch in batches:
-            pair, n = coded(batch.column(1).to_pylist(), words)
+            pair, _, n = named(batch.column(1).to_pylist(), names)
             sums = np.zeros((2, len(n)))
             owner = np.repeat(np.arange(len(n)), n)
-            for at in range(0, len(pair), COUNT_TOKENS // 4):
-                part = slice(at, at + COUNT_TOKENS // 4)
-                for row, loss in enumerate(models.losses(pair[part])):
-                    sums[row] += np.bincount(owner[part], loss, len(n))
-            mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
-            columns = [pa.array(x, from_pandas=True) for x in (mean[0], mean[1], mean[0] - mean[1])]
+            for start in range(0, len(pair), COUNT_TOKENS // 4):
+                part, of = pair[start:start + COUNT_TOKENS // 4], owner[start:start + COUNT_TOKENS // 4]
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+                    hit = keys[at] == part
+                    for i in range(2):
+                        sums[i] += np.bincount(of[hit], losses[i, at[hit]], len(n))
+                    part, of = part[~hit], of[~hit]
+                if not len(part):
+                    continue
+                order = np.lexsort((part, of))
+                part, of = part[order], of[order]
+                first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (of[1:] != of[:-1])])
+                none = pa.nulls(len(first), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row + of[first]), pa.array(part[first]), pa.array(np.diff(np.r_[first, len(part)])), none, none,
+                     pa.nulls(len(first), pa.float64()), pa.nulls(len(first), pa.float64())], names=fields)
+            # one row for the document itself; its own number stands for a pair, so that such rows spread
+            mine = pa.array(row + np.arange(len(n)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), *columns], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return map_batches(docs, run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+                [mine, mine, pa.array(np.zeros(len(n), np.int64)), batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sums[0]), pa.array(sums[1])],
+                names=fields)
+            row += len(n)
+
+    rows = map_batches(
+        docs, run, "row long, pair long, k long, doc_id long, n_tokens long, near_target double, near_background double")
+    far = priced.where(~is_near).select("pair", "loss_target", "loss_background")
+
+    def total(side):
+        known = F.when(F.col("k") > 0, F.col("k") * F.col(f"loss_{side}"))
+        return F.sum(F.coalesce(f"near_{side}", known, F.lit(0.0))).alias(side)
+
+    out = rows.join(far, "pair", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), total("target"), total("background"))
+    mean = {side: F.when(F.col("n_tokens") > 0, F.col(side) / F.col("n_tokens")) for side in ("target", "background")}
+    return out.select(
+        "doc_id", "n_tokens", mean["target"].alias("loss_target"), mean["background"].alias("loss_background"),
+        (mean["target"] - mean["background"]).alias("score"))
