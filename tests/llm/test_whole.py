@@ -3,7 +3,7 @@
 import math
 from collections import Counter
 
-from sidematch.llm import lm_score
+from sidematch.llm import decontam, lm_score
 
 
 def plain_scores(texts, good):
@@ -43,3 +43,27 @@ def test_every_pair_is_scored_from_its_own_count(spark, monkeypatch):
             assert got[i].n_tokens == n
             assert abs(got[i].loss_target - target) < 1e-9 and abs(got[i].loss_background - background) < 1e-9
             assert abs(got[i].score - (target - background)) < 1e-9
+
+
+ITEM = "which of these old rivers flows north past seven quiet towns before it meets the cold sea near the tall lighthouse"
+
+
+def test_edited_and_short_items_are_found(spark):
+    words = ITEM.split()
+    texts = [("insert", " ".join([*words[:k], "really", *words[k:]])) for k in range(len(words) + 1)]
+    texts += [("replace", " ".join([*words[:k], "really", *words[k + 1:]])) for k in range(len(words))]
+    texts += [("short", "we ask now what is a prime and go on"), ("not short", "what is the prime"), ("none", "the old rivers flow on")]
+    docs = spark.createDataFrame([(i, "some other words go first then " + t + " and some more follow") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "What is a prime?"), (3, "42")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find(docs, items).collect()}
+    want = {(i, {"insert": 1, "replace": 1, "short": 2}[kind]) for i, (kind, _) in enumerate(texts) if kind in ("insert", "replace", "short")}
+    assert got == want
+
+
+def test_values_are_compared_at_every_place(spark):
+    # a garbled copy first, where one value stands for two, then a whole one
+    item = "ann has 12 red apples and 15 green pears so tell how many fruits she has in all today"
+    texts = [item.replace("15", "12") + " then some filler words that go on and on for a while " + item.replace("12", "7")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.slots_changed) for r in got] == [(0, 1, True)] and got[0].position > 0
