@@ -3,7 +3,7 @@
 import math
 from collections import Counter
 
-from sidematch.llm import decontam, lm_score
+from sidematch.llm import decontam, license, lm_score
 
 
 def plain_scores(texts, good):
@@ -67,3 +67,17 @@ def test_values_are_compared_at_every_place(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = decontam.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.slots_changed) for r in got] == [(0, 1, True)] and got[0].position > 0
+
+
+def test_usual_licence_wordings_are_found(spark):
+    code = "\nint main() { return total; }\nvoid other(int value);\nlong third(char *name);\n" * 4
+    texts = {
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "MIT": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal",
+        "GPL-3.0": "either version 3 of the GNU General Public License as published by the Free Software Foundation",
+        "Apache-2.0": "// SPDX-License-Identifier: Apache-2.0",
+    }
+    rows = [(i, f"d/{i}.txt", text + code) for i, text in enumerate(texts.values())] + [(9, "e/9.txt", code)]
+    got = {r.file_id: r.license for r in license.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {**dict(enumerate(texts)), 9: None}
