@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, langid, license, line_dedup, lm_score, packing, quality, rans, urls, warc
+from . import decontam, jaccard_join, langid, license, line_dedup, lm_score, packing, quality, rans, token_align, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -227,3 +227,10 @@ FROM judged GROUP BY doc_id
 def shared_lines_dropped(spark, sf_dir):
     return line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_token_alignment")
+def token_alignment(spark, sf_dir):
+    return token_align.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
