@@ -15,6 +15,8 @@ from sidematch.session import materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+# Parts of the lines of one key, so that a line of all documents meets many tasks.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
@@ -55,8 +57,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     held = keys.where(F.col("doc_id").isNotNull()).select("_h", "_g", "doc_id").distinct()
     shared = held.groupBy("_h", "_g").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_last"))
     shared = shared.where(F.col("_n") >= min_docs).select("_h", "_g", "_last")
+    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = keys.withColumn("_salt", F.pmod("_text", F.lit(SALTS)).cast("int"))
     lost = (
-        keys.join(shared, ["_h", "_g"]).where(~F.col("doc_id").eqNullSafe(F.col("_last")))
+        salted.join(shared, ["_h", "_g", "_salt"]).where(~F.col("doc_id").eqNullSafe(F.col("_last")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_of"))
         .agg(F.collect_set("_at").alias("_lost")))
     both = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_of")), "left")
