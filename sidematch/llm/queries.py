@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, langid, license, line_dedup, lm_score, packing, quality, rans, token_align, urls, warc
+from . import decontam, jaccard_join, langid, license, line_dedup, lm_score, packing, prefix_trie, quality, rans, token_align, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -234,3 +234,46 @@ def token_alignment(spark, sf_dir):
     return token_align.align(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"))
+
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM turns),
+steps AS (
+  SELECT conv_id, list_prepend(4294967295, flatten(list_transform(range(1, length(s) + 1),
+    lambda p: [ascii(s[p]), -1, -1, -1, -1, -1, -1, -1, -1]))) AS l FROM ids),
+convs AS (
+  SELECT conv_id, xor(list_reduce(l, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+    ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 4 AS h FROM steps),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, i, k, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i < h
+  UNION ALL SELECT c.conv_id, 1, i, k, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND i >= h),
+rows AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(k, '') OVER w AS path, words
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)),
+paths AS (SELECT * FROM rows UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '') AS ends
+  FROM paths JOIN lengths USING (conv_id) GROUP BY path, depth),
+tied AS (SELECT *, left(path, 64 * (depth - 1)::INT) AS up FROM nodes),
+children AS (SELECT up AS path, depth - 1 AS depth, count(*) AS n FROM tied WHERE depth > 0 GROUP BY 1, 2),
+below AS (
+  SELECT left(path, 64 * d::INT) AS path, d AS depth, sum((n_convs - 1) * words)::BIGINT AS saved,
+         count(*) FILTER (n IS NULL) AS leaves
+  FROM (SELECT t.*, c.n, unnest(range(0, t.depth + 1)) AS d FROM tied t LEFT JOIN children c USING (path, depth)) GROUP BY 1, 2)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves,
+       b.saved AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM tied t LEFT JOIN nodes p ON p.path = t.up AND p.depth = t.depth - 1
+LEFT JOIN children c ON c.path = t.path AND c.depth = t.depth JOIN below b ON b.path = t.path AND b.depth = t.depth
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def prefix_nodes(spark, sf_dir):
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))

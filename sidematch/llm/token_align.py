@@ -8,7 +8,7 @@ Spark deals out, each range owning the tokens that end inside, and their fragmen
 composed in rounds of a tree.
 
 Both tokenizers start anew at white space that stands alone between two other characters,
-so texts are cut there and what lies between is encoded once per worker.
+so a range is encoded with the pieces at its ends whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import batched
@@ -39,8 +38,8 @@ PARTS = 16
 SLICE_DOCS = 1 << 17
 # Documents whose pairs travel in one record.
 PACK_DOCS = 64
-# Different pieces a worker remembers.
-CACHE_PIECES = 100_000
+# Different pieces a worker remembers the A ids of.
+CACHE_PIECES = 300_000
 # Ids of B are below this, so that a pair is one number.
 B_IDS = 1 << 16
 
@@ -101,51 +100,54 @@ def _join(x: tuple, y: tuple) -> tuple:
     return tuple((*a, *b) for a, b in zip(x, y))
 
 
+# An id as it is followed in the text of groups: by more of its side, by the other side,
+# by the next group.
+FOLLOWED = {mark: np.array([f"{i}{mark}" for i in range(B_IDS)], object) for mark in ",|;"}
+
+
+def closed_groups(a_ids, a_ends, b_ids, b_ends) -> tuple[int, bytes, str]:
+    """Number of groups, packed linked pairs and text of tokens that end in a common end.
+
+    Arrays of ids and of ends counted from where both sides begin.  Between two ends next
+    to each other, of whichever side, one token of A and one of B overlap.
+    """
+    if not len(a_ids):
+        return 0, b"", ""
+    ends = np.union1d(a_ends, b_ends)
+    links = a_ids[np.searchsorted(a_ends, ends)] * B_IDS + b_ids[np.searchsorted(b_ends, ends)]
+    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+    text = np.empty(len(a_ids) + len(b_ids), object)
+    text[np.arange(len(a_ids)) + np.searchsorted(b_group, a_group)] = np.where(
+        common[a_group] == a_ends, FOLLOWED["|"][a_ids], FOLLOWED[","][a_ids])
+    text[np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, "right")] = np.where(
+        common[b_group] == b_ends, FOLLOWED[";"][b_ids], FOLLOWED[","][b_ids])
+    return len(common), links.astype("<u4").tobytes(), "".join(text.tolist())[:-1]
+
+
 def group_of(a_ids, a_lengths, b_ids, b_lengths) -> tuple[str, bytes]:
     """One group's ids as text, and its linked pairs; nothing for no tokens."""
-    if not a_ids and not b_ids:
-        return "", b""
-    links, i, j, a_end, b_end = array("I"), 0, 0, 0, 0
-    while i < len(a_ids) and j < len(b_ids):
-        links.append(a_ids[i] * B_IDS + b_ids[j])
-        a_next, b_next = a_end + a_lengths[i], b_end + b_lengths[j]
-        if a_next <= b_next:
-            i, a_end = i + 1, a_next
-        if b_next <= a_next:
-            j, b_end = j + 1, b_next
-    return f"{','.join(map(str, a_ids))}|{','.join(map(str, b_ids))}", links.tobytes()
+    a_ids, a_lengths, b_ids, b_lengths = (np.array(x, np.int64) for x in (a_ids, a_lengths, b_ids, b_lengths))
+    _, links, text = closed_groups(a_ids, np.cumsum(a_lengths), b_ids, np.cumsum(b_lengths))
+    return text, links
 
 
 def fragment(a_ids, a_ends, b_ids, b_ends, a_start: int = 0, b_start: int = 0) -> Fragment:
     """Fragment of the tokens that end at ``a_ends`` and ``b_ends``; the first ones begin
     at ``a_start`` and ``b_start``."""
-    a_lengths = [e - s for s, e in zip([a_start, *a_ends], a_ends)]
-    b_lengths = [e - s for s, e in zip([b_start, *b_ends], b_ends)]
-    out = Fragment(n_a=len(a_ids), n_b=len(b_ids))
+    a_ids, a_ends, b_ids, b_ends = (np.array(x, np.int64) for x in (a_ids, a_ends, b_ids, b_ends))
+    a_lengths, b_lengths = np.diff(a_ends, prepend=a_start), np.diff(b_ends, prepend=b_start)
 
     def between(i, j, k, m):
-        return tuple(a_ids[i:k]), tuple(a_lengths[i:k]), tuple(b_ids[j:m]), tuple(b_lengths[j:m])
-
-    i = j = 0
-    b_at = {e: m for m, e in enumerate(b_ends, 1)}
-    for k, end in enumerate(a_ends, 1):
-        m = b_at.get(end)
-        if m is None:
-            continue
-        if out.closed:
-            text, links = group_of(*between(i, j, k, m))
-            out.groups.append(text)
-            out.links.append(links)
-        else:
-            out.head, out.closed = between(i, j, k, m), True
-        i, j = k, m
-    rest = between(i, j, len(a_ids), len(b_ids))
-    out.n_groups = len(out.groups)
-    if out.closed:
-        out.tail = rest
-    else:
-        out.head = rest
-    return out.compact()
+        return tuple(tuple(x.tolist()) for x in (a_ids[i:k], a_lengths[i:k], b_ids[j:m], b_lengths[j:m]))
+
+    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    n_a, n_b = len(a_ids), len(b_ids)
+    if not len(common):
+        return Fragment(head=between(0, 0, n_a, n_b), n_a=n_a, n_b=n_b)
+    (i, k), (j, m) = (np.searchsorted(e, common[[0, -1]]) + 1 for e in (a_ends, b_ends))
+    n, links, text = closed_groups(a_ids[i:k], a_ends[i:k], b_ids[j:m], b_ends[j:m])
+    return Fragment(between(0, 0, i, j), between(k, m, n_a, n_b), True, n_a, n_b, n, [links] if n else [], [text] if n else [])
 
 
 class Pair:
@@ -164,12 +166,13 @@ class Pair:
             raise ValueError(f"{b_path}: ids beyond {B_IDS}")
         letters = {spelled: byte for byte, spelled in _byte_letters().items()}
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)
-        self.a_bytes = {
-            i: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-            for token, i in vocabulary.items()}
-        self.b_bytes = [self._b_bytes(i) for i in range(self.b.get_piece_size())]
+        self.a_bytes, self.b_bytes = np.empty(B_IDS, object), np.empty(B_IDS, object)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        for i in range(self.b.get_piece_size()):
+            self.b_bytes[i] = self._b_bytes(i)
+        self.a_sizes, self.b_sizes = (np.array([len(x or b"") for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.space_id = self.b.piece_to_id(_PIECE_SPACE)
-        self.known: dict[str, tuple] = {}
 
     def _b_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -177,64 +180,39 @@ class Pair:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace(_PIECE_SPACE, " ").encode()
 
-    def tokens(self, piece: str) -> tuple[list[int], list[int], list[int], list[int], bool]:
-        """Ids and ends of both sides of one piece; false when its bytes are not kept."""
-        a_ids = np.frombuffer(self.a[piece], "<u4").tolist()
-        if piece[0] == " ":
-            b_ids = self.b.encode(piece[1:])
-        else:
-            # the space that B adds in front stays a token of its own before a line end
-            b_ids = self.b.encode(piece)
-            if b_ids[:1] != [self.space_id]:
-                return [], [], [], [], False
-            b_ids = b_ids[1:]
-        a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        raw = piece.encode()
-        equal = b"".join(a_parts) == raw and b"".join(b_parts) == raw
-        return a_ids, np.cumsum([*map(len, a_parts)]).tolist(), b_ids, np.cumsum([*map(len, b_parts)]).tolist(), equal
-
-    def piece(self, piece: str) -> tuple | None:
-        """Numbers of A tokens, B tokens and groups, linked pairs and groups of a piece."""
-        if piece in self.known:
-            return self.known[piece]
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
-        if len(self.a) >= CACHE_PIECES:
+    def tokens(self, text: str) -> tuple | None:
+        """Ids and ends of A and of B as arrays; none when a side changes the bytes.
+
+        ``text`` begins with a space, or with a line end inside a document, before which
+        the space that B adds stays a token of its own.
+        """
+        if len(self.a) > CACHE_PIECES:
             self.a.clear()
-        a_ids, a_ends, b_ids, b_ends, equal = self.tokens(piece)
-        found = None
-        if equal:
-            # a piece begins and ends where both sides have a common end
-            x = fragment(a_ids, a_ends, b_ids, b_ends).whole()
-            found = x.n_a, x.n_b, x.n_groups, x.links[0], x.groups[0]
-        if len(piece) < 64:
-            self.known[piece] = found
-        return found
+        a_ids = np.frombuffer(self.a.encode(text), "<u4").astype(np.int64)
+        b_ids = self.b.encode(text[1:] if text[0] == " " else text)
+        if text[0] != " ":
+            b_ids = b_ids[1:] if b_ids[0] == self.space_id else []
+        raw, b_ids = text.encode(), np.array(b_ids, np.int64)
+        if any(b"".join(spelled[ids].tolist()) != raw for ids, spelled in ((a_ids, self.a_bytes), (b_ids, self.b_bytes))):
+            return None
+        return a_ids, np.cumsum(self.a_sizes[a_ids]), b_ids, np.cumsum(self.b_sizes[b_ids])
 
     def short(self, text: str | None) -> tuple:
         """Everything of one document at once: ``n_a, n_b, n_groups, links, groups``."""
-        found = [self.piece(p) for p in _SAFE.split(" " + text)] if text else [None]
-        if None in found:
-            return NOTHING
-        n_a, n_b, n_groups, links, groups = zip(*found)
-        return sum(n_a), sum(n_b), sum(n_groups), b"".join(links), ";".join(groups)
+        found = self.tokens(" " + text) if text else None
+        return NOTHING if found is None else (len(found[0]), len(found[2]), *closed_groups(*found))
 
     def part(self, text: str, low: int, high: int) -> Fragment:
         """Fragment of the tokens of ``text``, whole pieces, that end in ``(low, high]``."""
-        ids, ends, starts, at = ([], []), ([], []), [0, 0], 0
-        for p in _SAFE.split(text):
-            *tokens, equal = self.tokens(p)
-            if not equal:
-                return Fragment(equal=False)
-            for side in (0, 1):
-                for i, end in zip(tokens[2 * side], tokens[2 * side + 1]):
-                    if at + end <= low:
-                        starts[side] = at + end
-                    elif at + end <= high:
-                        ids[side].append(i)
-                        ends[side].append(at + end)
-            at += len(p.encode())
-        return fragment(ids[0], ends[0], ids[1], ends[1], *starts)
+        found = self.tokens(text)
+        if found is None:
+            return Fragment(equal=False)
+        args, starts = [], []
+        for ids, ends in (found[:2], found[2:]):
+            i, k = np.searchsorted(ends, [low, high], "right")
+            args += [ids[i:k], ends[i:k]]
+            starts.append(int(ends[i - 1]) if i else 0)
+        return fragment(*args, *starts)
 
 
 def _byte_letters() -> dict[int, str]:
