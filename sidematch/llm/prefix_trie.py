@@ -45,9 +45,9 @@ def _powers(point: int, exponent: Column) -> Column:
     for level in range(4):
         base = pow(point, DIGITS ** level, PRIME)
         table = F.lit([pow(base, d, PRIME) for d in range(DIGITS)])
-        digit = F.get(table, F.shiftright(exponent, 8 * level).bitwiseAND(F.lit(DIGITS - 1)).cast("int"))
+        digit = F.get(table, F.shiftright(exponent, 8 * level).bitwiseAND(F.lit(DIGITS - 1)).cast("int")).cast("long")
         out = digit if out is None else out * digit % PRIME
-    return out.cast("long")
+    return out
 
 
 def _packed(lanes: list[Column]) -> tuple[Column, Column]:

@@ -14,6 +14,7 @@ so a range is encoded with the pieces at its ends whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import pickle
 import re
 from collections.abc import Iterator
@@ -38,8 +39,6 @@ PARTS = 16
 SLICE_DOCS = 1 << 17
 # Documents whose pairs travel in one record.
 PACK_DOCS = 64
-# Different pieces a worker remembers the A ids of.
-CACHE_PIECES = 300_000
 # Ids of B are below this, so that a pair is one number.
 B_IDS = 1 << 16
 
@@ -102,27 +101,30 @@ def _join(x: tuple, y: tuple) -> tuple:
 
 # An id as it is followed in the text of groups: by more of its side, by the other side,
 # by the next group.
-FOLLOWED = {mark: np.array([f"{i}{mark}" for i in range(B_IDS)], object) for mark in ",|;"}
+FOLLOWED = np.array([[f"{i}{mark}" for i in range(B_IDS)] for mark in ",|;"], object)
 
 
 def closed_groups(a_ids, a_ends, b_ids, b_ends) -> tuple[int, bytes, str]:
     """Number of groups, packed linked pairs and text of tokens that end in a common end.
 
-    Arrays of ids and of ends counted from where both sides begin.  Between two ends next
+    Arrays of ids and of ends, counted from where both sides begin.  Between two ends next
     to each other, of whichever side, one token of A and one of B overlap.
     """
     if not len(a_ids):
         return 0, b"", ""
-    ends = np.union1d(a_ends, b_ends)
-    links = a_ids[np.searchsorted(a_ends, ends)] * B_IDS + b_ids[np.searchsorted(b_ends, ends)]
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+    # marks per byte: texts are short, and sums over marks number tokens and groups
+    a_marks, b_marks = np.zeros((2, int(a_ends[-1]) + 1), np.int32)
+    a_marks[a_ends] = b_marks[b_ends] = 1
+    groups = np.cumsum(a_marks & b_marks)
+    ends = np.flatnonzero(a_marks | b_marks)
+    links = (a_ids[np.cumsum(a_marks)[ends] - a_marks[ends]] * B_IDS + b_ids[np.cumsum(b_marks)[ends] - b_marks[ends]])
+    a_last, b_last = b_marks[a_ends], a_marks[b_ends]
+    a_group, b_group = groups[a_ends] - a_last, groups[b_ends] - b_last
+    a_upto, b_upto = (np.searchsorted(x, np.arange(int(groups[-1]) + 1)) for x in (a_group, b_group))
     text = np.empty(len(a_ids) + len(b_ids), object)
-    text[np.arange(len(a_ids)) + np.searchsorted(b_group, a_group)] = np.where(
-        common[a_group] == a_ends, FOLLOWED["|"][a_ids], FOLLOWED[","][a_ids])
-    text[np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, "right")] = np.where(
-        common[b_group] == b_ends, FOLLOWED[";"][b_ids], FOLLOWED[","][b_ids])
-    return len(common), links.astype("<u4").tobytes(), "".join(text.tolist())[:-1]
+    text[np.arange(len(a_ids)) + b_upto[a_group]] = FOLLOWED[a_last, a_ids]
+    text[np.arange(len(b_ids)) + a_upto[b_group + 1]] = FOLLOWED[2 * b_last, b_ids]
+    return int(groups[-1]), links.astype("<u4").tobytes(), "".join(text.tolist())[:-1]
 
 
 def group_of(a_ids, a_lengths, b_ids, b_lengths) -> tuple[str, bytes]:
@@ -150,25 +152,37 @@ def fragment(a_ids, a_ends, b_ids, b_ends, a_start: int = 0, b_start: int = 0) -
     return Fragment(between(0, 0, i, j), between(k, m, n_a, n_b), True, n_a, n_b, n, [links] if n else [], [text] if n else [])
 
 
+# Fixed value: how byte-level models of this kind cut texts before they merge letters.
+A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Pair:
-    """Two tokenizers over the same bytes: a text with a space before it."""
+    """Two tokenizers over the same bytes: a text with a space before it.
+
+    A's vocabulary comes from its file; tiktoken merges by it, several times faster than
+    the library the file is for, with the same ids.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-
-        from .tokens import Encoder
-
-        self.a = Encoder(a_path)
-        # special tokens' strings inside texts are plain text
-        self.a.tokenizer.encode_special_tokens = True
+        from tiktoken import Encoding
+
+        with open(a_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, merges = model["vocab"], model["merges"]
+        pairs = ((m if isinstance(m, list) else m.split(" ")) for m in merges)
+        if any(vocabulary["".join(m)] != 256 + i for i, m in enumerate(pairs)):
+            raise ValueError(f"{a_path}: ids do not follow the order of merges")
+        letters = {spelled: byte for byte, spelled in _byte_letters().items()}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
+        # without special tokens their strings inside texts are plain text
+        self.a = Encoding("a", pat_str=A_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_file=b_path)
         if self.b.get_piece_size() > B_IDS:
             raise ValueError(f"{b_path}: ids beyond {B_IDS}")
-        letters = {spelled: byte for byte, spelled in _byte_letters().items()}
-        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)
         self.a_bytes, self.b_bytes = np.empty(B_IDS, object), np.empty(B_IDS, object)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         for i in range(self.b.get_piece_size()):
             self.b_bytes[i] = self._b_bytes(i)
         self.a_sizes, self.b_sizes = (np.array([len(x or b"") for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
@@ -186,9 +200,7 @@ class Pair:
         ``text`` begins with a space, or with a line end inside a document, before which
         the space that B adds stays a token of its own.
         """
-        if len(self.a) > CACHE_PIECES:
-            self.a.clear()
-        a_ids = np.frombuffer(self.a.encode(text), "<u4").astype(np.int64)
+        a_ids = np.array(self.a.encode_ordinary(text), np.int64)
         b_ids = self.b.encode(text[1:] if text[0] == " " else text)
         if text[0] != " ":
             b_ids = b_ids[1:] if b_ids[0] == self.space_id else []
