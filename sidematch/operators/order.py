@@ -30,3 +30,15 @@ def global_rank(df: DataFrame, keys: list[str | Column], name: str = "rank") ->
     # as many rows as there are ranges, that is shuffle partitions
     return stored.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + within).drop(
         "_id", "_range", "_start")
+
+
+def value_places(df: DataFrame, value: str, name: str = "place") -> DataFrame:
+    """``df`` with ``name``, the 1-based place of ``value`` among the different values of
+    the whole table.
+
+    Values are made different before they are ranked, so a value that a third of all rows
+    have is one row there.
+    """
+    values = global_rank(df.select(value).distinct(), [value], "_rank")
+    placed = values.select(F.col(value).alias("_value"), (F.col("_rank") + 1).alias(name))
+    return df.join(placed, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

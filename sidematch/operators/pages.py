@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidematch.functions.text import is_blank, match_start, matched_value, search, strip, unix_newlines
-from sidematch.operators.scan import CHUNK, Chunk, Last, Runs, Sum, scan, spread_join
+from sidematch.operators.scan import CHUNK, Chunk, Last, Runs, Sum, scan, spread_join, stack
 
 DOC = ("side", "doc_id")
 POS = "line_no"
@@ -71,25 +71,21 @@ def trim_blocks(
     A line stays when the nearest non-blank lines on both sides (itself included)
     are of its own block.
     """
+    return stack(lines, by, pos, _trimmed(block, number, pos), chunk)
+
+
+def _trimmed(block: str, number: str, pos: str) -> list:
+    """Levels of a stack that trim blocks."""
     filled = F.when(~is_blank(F.col("line")), F.col(block))
-    rows = scan(
-        lines,
-        by,
-        pos,
-        {
-            "_above": Last(filled),
-            "_below": Last(filled, down=True),
-            number: Runs(filled, pos),
-        },
-        chunk,
-    )
+    specs = {"_above": Last(filled), "_below": Last(filled, down=True), number: Runs(filled, pos)}
     blank_text = F.col("_above").isNull() & F.col("_below").isNull()
     keep = (F.col("_above") == F.col(block)) & (F.col("_below") == F.col(block))
-    return (
-        rows.where(keep | blank_text)
-        .withColumn(number, F.col(number) + 1)
-        .drop("_above", "_below", f"{number}_start")
-    )
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return rows.where(keep | blank_text).withColumn(number, F.col(number) + 1).drop(
+            "_above", "_below", f"{number}_start")
+
+    return [specs, kept]
 
 
 def pages_by_value_change(
@@ -102,8 +98,8 @@ def pages_by_value_change(
     """Add ``page_no``: a new page begins on the line whose captured value differs
     from the last captured one.  Lines without a match stay on the current page."""
     changes = {"_page": Runs(_value(pattern, F.col("line")), pos)}
-    rows = scan(lines, by, pos, changes, chunk).drop("_page_start")
-    return trim_blocks(rows, "_page", "page_no", by, pos, chunk).drop("_page")
+    levels = [changes, *_trimmed("_page", "page_no", pos)]
+    return stack(lines, by, pos, levels, chunk).drop("_page", "_page_start")
 
 
 def pages_by_delimiter(
@@ -239,31 +235,29 @@ def strip_repeating(
         return F.collect_set(F.when(F.col("kind") == kind, F.col("line")))
 
     marks = repeating.groupBy(*by).agg(of("header").alias("_headers"), of("footer").alias("_footers"))
-    rows = spread_join(pages, marks, by, pos, chunk)
     text = strip(F.col("line"))
     no = F.lit(False)
-    rows = rows.withColumns(
+    page = [*by, "page_no"]
+    rows = spread_join(pages, marks, by, pos, chunk, within=page).withColumns(
         {
             "_h": F.coalesce(F.array_contains("_headers", text), no),
             "_f": F.coalesce(F.array_contains("_footers", text), no)
             & ~_separator(separator, F.col("line")),
         }
     ).drop("_headers", "_footers")
-    page = [*by, "page_no"]
-    others = Sum(F.when(~F.col("_h"), 1).otherwise(0), inclusive=False)
-    rows = scan(rows, page, pos, {"_before": others}, chunk)
-    rows = rows.withColumn("_header", F.col("_h") & (F.col("_before") < check))
     left = ~F.col("_header")
-    rows = scan(
-        rows,
-        page,
-        pos,
+
+    def headers(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_header", F.col("_h") & (F.col("_before") < check))
+
+    rows = stack(rows, page, pos, [
+        {"_before": Sum(F.when(~F.col("_h"), 1).otherwise(0), inclusive=False)},
+        headers,
         {
             "_kept": Sum(F.when(left & ~F.col("_f"), 1).otherwise(0), down=True, inclusive=False),
             "_cut": Sum(F.when(left & F.col("_f"), 1).otherwise(0), down=True, inclusive=False),
         },
-        chunk,
-    )
+    ], chunk)
     footer = F.col("_f") & (F.col("_kept") < check) & (F.col("_cut") < check)
     role = F.when(F.col("_header"), "header").when(footer, "footer").otherwise("body")
     return rows.withColumn("role", role).select(*pages.columns, "role")

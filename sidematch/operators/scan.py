@@ -12,11 +12,15 @@ computes the same running values in two levels:
 The rows are shuffled once, evenly; the summaries are ``1/chunk`` of them.  With
 ``chunk=None`` the caller states that every group fits one task, and one plain window
 is used.
+
+``stack`` computes running values that depend on each other, level by level, on the same
+slices: rows stay where the first level put them, and every further level only moves its
+summaries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,7 +69,10 @@ class Frames:
 class Spec:
     """One running value.  ``local`` are stages of columns inside a slice,
     ``summary`` the aggregates kept per slice, ``carry`` stages over the earlier
-    slices (``carried`` names what rows need of it), ``result`` the outputs."""
+    slices (``carried`` names what rows need of it), ``result`` the outputs.
+    ``of_rows`` says that the summary reads what ``local`` has made."""
+
+    of_rows = False
 
     def __init__(self, value: Column):
         self.value = value
@@ -82,10 +89,6 @@ class Spec:
     def carried(self, n: str) -> list[str]:
         return [f"{n}_c"]
 
-    def inherited(self, n: str) -> list[str]:
-        """Carried columns that are NULL when a slice inherits nothing."""
-        return self.carried(n)
-
     def result(self, n: str, carried: bool) -> dict[str, Column]:
         raise NotImplementedError
 
@@ -155,11 +158,44 @@ class Last(Spec):
         return {n: F.coalesce(f"{n}_l", f"{n}_c") if carried else F.col(f"{n}_l")}
 
 
+class Since(Spec):
+    """Rows since the nearest flagged row, which counts as 1; NULL where there is none.
+    ``down`` counts to the next one instead."""
+
+    of_rows = True
+
+    def __init__(self, flag: Column, *, down: bool = False, inclusive: bool = True):
+        super().__init__(flag)
+        self.down, self.inclusive = down, inclusive
+
+    def local(self, n, f):
+        rows = F.count(F.lit(1)).over(f.pick(self.down, True))
+        at = F.when(F.col(f"{n}_v"), F.col(f"{n}_r"))
+        return [
+            {f"{n}_r": rows},
+            {f"{n}_l": F.max(at).over(f.pick(self.down, self.inclusive))},
+        ]
+
+    def summary(self, n, pos):
+        return {f"{n}_s": F.count(F.lit(1)), f"{n}_m": F.max(F.when(F.col(f"{n}_v"), F.col(f"{n}_r")))}
+
+    def carry(self, n, f):
+        win = f.pick(self.down, False)
+        before = F.coalesce(F.sum(f"{n}_s").over(win), F.lit(0))
+        return [{f"{n}_b": before}, {f"{n}_c": F.col(f"{n}_b") - F.max(F.col(f"{n}_b") + F.col(f"{n}_m")).over(win)}]
+
+    def result(self, n, carried):
+        here = F.col(f"{n}_r") - F.col(f"{n}_l") + 1
+        return {n: F.coalesce(here, F.col(f"{n}_r") + F.col(f"{n}_c") + 1) if carried else here}
+
+
 class Runs(Spec):
     """How often the value has changed so far, NULLs skipped: output ``n`` is the
     number of changes up to the row, ``n_start`` the position where the current
     run of equal values began."""
 
+    of_rows = True
+
     def __init__(self, value: Column, pos: str):
         super().__init__(value)
         self.pos = pos
@@ -217,9 +253,6 @@ class Runs(Spec):
     def carried(self, n):
         return [f"{n}_c", f"{n}_cs", f"{n}_cb", f"{n}_co"]
 
-    def inherited(self, n):
-        return [f"{n}_c", f"{n}_cs"]
-
     def result(self, n, carried):
         count, start, opening = F.col(f"{n}_l"), F.col(f"{n}_b"), F.col(f"{n}_f")
         if not carried:
@@ -245,41 +278,73 @@ def scan(
     inside a group, that orders it.  Any other orderable ``pos`` needs its slices
     spelled out: a ``chunk`` column that never falls as ``pos`` grows.
     """
-    columns = list(df.columns)
+    return stack(df, by, pos, [specs], chunk)
+
+
+def stack(
+    df: DataFrame,
+    by: Sequence[str],
+    pos: str,
+    levels: Sequence[Mapping[str, Spec] | Callable[[DataFrame], DataFrame]],
+    chunk: Chunk = CHUNK,
+) -> DataFrame:
+    """Several ``scan``s of one order over one exchange of the rows.
+
+    A level is a mapping of specs, which may use the values of levels before it, or a
+    function that derives columns or drops rows without moving any.  Slices that ``df``
+    has from ``spread_join`` are used as they are.
+    """
+    sliced = chunk is not None
+    keys = [*by, SLICE] if sliced else list(by)
+    rows = df.withColumn(SLICE, slice_of(pos, chunk)) if sliced and SLICE not in df.columns else df
+    first = True
+    for level in levels:
+        if callable(level):
+            rows = level(rows)
+            continue
+        of_rows = not first or any(s.of_rows for s in level.values())
+        rows = _level(rows, by, keys, pos, level, sliced, df.columns if of_rows else [])
+        first = False
+    return rows.drop(SLICE)
+
+
+def _level(rows: DataFrame, by, keys, pos, specs: Mapping[str, Spec], sliced: bool, moved) -> DataFrame:
+    columns = list(rows.columns)
     names = {out: f"_{i}" for i, out in enumerate(specs)}
-    rows = df.withColumns({f"{names[o]}_v": s.value for o, s in specs.items()})
-    keys = list(by)
-    if chunk is not None:
-        rows = rows.withColumn(SLICE, slice_of(pos, chunk))
-        keys = keys + [SLICE]
+    rows = rows.withColumns({f"{names[o]}_v": s.value for o, s in specs.items()})
     frames = Frames.over(keys, pos)
     rows = _stages(rows, [s.local(names[o], frames) for o, s in specs.items()])
-    if chunk is not None:
-        rows = rows.join(_carry(rows, by, keys, pos, specs, names), keys, "left")
+    if sliced:
+        # hashed, so that the rows keep their order for the next level
+        carry = _carry(rows, by, keys, pos, specs, names, moved).hint("shuffle_hash")
+        rows = rows.join(carry, keys)
     out: list[Column] = [F.col(c) for c in columns if c not in specs]
     for o, s in specs.items():
-        for suffixed, col in s.result(names[o], chunk is not None).items():
+        for suffixed, col in s.result(names[o], sliced).items():
             out.append(col.alias(suffixed.replace(names[o], o, 1)))
     return rows.select(*out)
 
 
-def _carry(rows, by, keys, pos, specs, names) -> DataFrame:
-    """What each slice inherits from the slices before (and after) it; slices that
-    inherit nothing are left out."""
+def _carry(rows, by, keys, pos, specs, names, moved) -> DataFrame:
+    """What each slice inherits from the slices before (and after) it.
+
+    Summaries that need values of single rows touch all columns that were ``moved``: their
+    exchange is then the very one of the rows, which Spark reuses, instead of a second one
+    of fewer columns.  Plain sums are added up before they are moved.
+    """
     aggregates = [
         agg.alias(name)
         for o, s in specs.items()
         for name, agg in s.summary(names[o], pos).items()
     ]
+    if moved:
+        aggregates.append(F.bit_xor(F.xxhash64(*moved)).alias("_moved"))
     summary = rows.groupBy(*keys).agg(*aggregates)
     frames = Frames.over(list(by), SLICE)
     summary = _stages(summary, [s.carry(names[o], frames) for o, s in specs.items()])
     carried = [c for o, s in specs.items() for c in s.carried(names[o])]
-    inherits = F.lit(False)
-    for o, s in specs.items():
-        for c in s.inherited(names[o]):
-            inherits = inherits | F.col(c).isNotNull()
-    return summary.select(*keys, *carried).where(inherits)
+    carry = summary.where(F.col("_moved").isNotNull()) if moved else summary
+    return carry.select(*keys, *carried)
 
 
 def _stages(df: DataFrame, per_spec: list[list[dict[str, Column]]]) -> DataFrame:
@@ -308,15 +373,18 @@ def spread_join(
     pos: str,
     chunk: Chunk = CHUNK,
     how: str = "left",
+    within: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join one row per group to the rows of the group.
 
     The small side is repeated for each slice of the group, so a group with a
-    third of all rows is joined by many tasks.
+    third of all rows is joined by many tasks.  ``within`` names a finer group whose
+    slices are used and kept, so that a ``stack`` over it finds the rows in their places.
     """
     if chunk is None:
         return rows.join(per_group, list(by), how)
-    keys = [*by, SLICE]
+    keys = [*(within or by), SLICE]
     sliced = rows.withColumn(SLICE, slice_of(pos, chunk))
     slices = sliced.select(*keys).distinct().join(per_group, list(by), "inner")
-    return sliced.join(slices, keys, how).drop(SLICE)
+    joined = sliced.join(slices.hint("shuffle_hash"), keys, how)
+    return joined if within else joined.drop(SLICE)

@@ -10,7 +10,7 @@ from sidematch.functions.dates import mask_dates
 from sidematch.functions.keys import key_parts, sort_value
 from sidematch.operators import align, pairing, stats
 from sidematch.operators.fuzzy import fuzzy_pairs
-from sidematch.operators.titles import assign, match_titles
+from sidematch.operators.titles import match_titles
 
 WORDS = ["page", "total", "cash", "card", "fees", "the", "of", "net", "12", "7"]
 
@@ -87,18 +87,6 @@ def title_turns(a, b, keep, threshold=0.6):
     return out
 
 
-@pytest.mark.parametrize("keep", [10, None])
-def test_assign(keep):
-    rng = random.Random(9)
-    for _ in range(300):
-        size = rng.choice([3, 8, 40])
-        a, b = (
-            [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, size))]
-            for _ in range(2)
-        )
-        assert assign(a, [tokens(t) for t in a], b, [tokens(t) for t in b], 0.6, keep) == title_turns(a, b, keep)
-
-
 @pytest.mark.parametrize("keep", [10, None])
 def test_match_titles(spark, keep):
     rng = random.Random(4)
@@ -106,10 +94,16 @@ def test_match_titles(spark, keep):
     groups["golden"] = (["Page 1", "Page 2"], ["Page 2"])
     groups["many"] = ([f"Page {i}" for i in range(30)], [f"Page {i}" for i in range(1, 32)])
     groups["empty"] = (["Page 0"], [])
-    for g in range(8):
+    groups["copies"] = (["Total"] * 9 + ["Totals", "Page 1"], ["Totals"] * 3 + ["Total"] * 4 + ["Page 1"] * 2)
+    groups["blank"] = (["", "Page 1", " "], ["", "x", "  "])
+    groups["typing"] = (["Introduction", "Sumary", "Index of pages"], ["Introductoin", "Summary", "Indices", "Summary"])
+    for g in range(60):
+        size, words = rng.choice([3, 8, 30]), rng.randint(1, 3)
         groups[f"g{g}"] = tuple(
-            [" ".join(rng.choice(WORDS) for _ in range(2)) for _ in range(rng.randint(1, 14))] for _ in range(2)
+            [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, words))) for _ in range(rng.randint(0, size))]
+            for _ in range(2)
         )
+    groups = {g: pair for g, pair in groups.items() if pair[0] or pair[1]}
     sides = [
         spark.createDataFrame(
             [(g, i, t) for g, pair in groups.items() for i, t in enumerate(pair[k])],
@@ -118,10 +112,10 @@ def test_match_titles(spark, keep):
         for k in range(2)
     ]
     got = {}
-    for r in match_titles(*sides, ["pair"], top=keep).collect():
+    for r in match_titles(*sides, ["pair"], top=keep, chunk=4).collect():
         got.setdefault(r.pair, set()).add((r.ordinal_a, r.ordinal_b, r.status))
     for g, (a, b) in groups.items():
-        taken = title_turns([t.lower() for t in a], [t.lower() for t in b], keep)
+        taken = title_turns([t.lower().strip() for t in a], [t.lower().strip() for t in b], keep)
         want = {(i, j, "removed" if j is None else "matched") for i, j in enumerate(taken)}
         want |= {(None, j, "added") for j in range(len(b)) if j not in taken}
         assert got[g] == want, g

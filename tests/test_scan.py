@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sidematch.operators.scan import Last, Max, Runs, Sum, number_rows, scan, spread_join
+from sidematch.operators.scan import Last, Max, Runs, Since, Sum, number_rows, scan, spread_join, stack
 
 
 def _rows(seed):
@@ -34,7 +34,9 @@ def _expected(rows):
             following = next((r[2] for r in group[i + 1:] if r[2] is not None), None)
             tail = sum(r[3] for r in group[i:])
             total += n
-            out[g, pos] = (total, tail, before, prev, following, changes, start, top, i + 1)
+            up = next((k for k, r in enumerate(group[i::-1], 1) if r[2] == "a"), None)
+            down = next((k for k, r in enumerate(group[i + 1:], 2) if r[2] == "a"), None)
+            out[g, pos] = (total, tail, before, prev, following, changes, start, top, i + 1, up, down)
             top = n if top is None else max(top, n)
     return out
 
@@ -55,6 +57,8 @@ def test_scan(spark, chunk):
             "following": Last(F.col("v"), down=True, inclusive=False),
             "changes": Runs(F.col("v"), "pos"),
             "top": Max(F.col("n"), inclusive=False),
+            "up": Since(F.col("v").eqNullSafe("a")),
+            "down": Since(F.col("v").eqNullSafe("a"), down=True, inclusive=False),
         },
         chunk,
     )
@@ -62,7 +66,7 @@ def test_scan(spark, chunk):
     result = {
         (r.g, r.pos): (
             r.total, r.tail, r.before, r.latest, r.following, r.changes,
-            r.changes_start, r.top, r.k,
+            r.changes_start, r.top, r.k, r.up, r.down,
         )
         for r in got.collect()
     }
@@ -75,3 +79,30 @@ def test_spread_join(spark, chunk):
     small = spark.createDataFrame([(0, "x"), (1, "y")], "g int, name string")
     got = spread_join(df, small, ["g"], "pos", chunk).groupBy("g", "name").count().collect()
     assert sorted((r.g, r.name, r["count"]) for r in got) == [(0, "x", 11), (1, "y", 11), (2, None, 11)]
+
+
+def test_stack_moves_rows_once(spark):
+    """Values of a level that use those of the level before; one exchange of the rows."""
+    rows = _rows(3)
+    df = spark.createDataFrame(rows, "g int, pos int, v string, n int").repartition(3)
+    levels = [
+        {"total": Sum(F.col("n"))}, lambda x: x.withColumn("even", F.col("total") % 2 == 0),
+        {"evens": Sum(F.col("even").cast("int"))}, {"double": Sum(F.col("evens"))},
+    ]
+    one_by_one = scan(df, ["g"], "pos", levels[0], 4).withColumn("even", F.col("total") % 2 == 0)
+    for level in levels[2:]:
+        one_by_one = scan(one_by_one, ["g"], "pos", level, 4)
+    stacked = stack(df, ["g"], "pos", levels, 4)
+    assert sorted(stacked.collect(), key=str) == sorted(one_by_one.select(stacked.columns).collect(), key=str)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = stack(df, ["g"], "pos", levels, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    lines = plan.split("\n")
+    sources = [after for line, after in zip(lines, lines[1:]) if "Sort [g#" in line and ", pos#" in line]
+    assert len([x for x in sources if "ReusedExchange" not in x]) == 1 and len(sources) >= 3

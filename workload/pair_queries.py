@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sidematch.functions import text
 from sidematch.functions.dates import mask_dates
 from sidematch.operators import pairing
 from sidematch.operators.fuzzy import fuzzy_pairs
@@ -14,7 +15,7 @@ from workload.registry import query
 from workload.sides import (
     ITEM_COLUMNS, ITEM_SQL, NAME_SQL, ORDER_SQL, item_slice, items, named_docs, order_lines, table,
 )
-from workload.text_queries import mask_sql
+from workload.text_queries import TOKENS_SQL, mask_sql, norm_sql, strip_sql
 
 RULES = [
     Rule(r"^src1_.*", split_pattern=r"^INVOICE NO:\s+(\S+)"),
@@ -168,7 +169,63 @@ def changed_columns(spark, sf_dir):
     )
 
 
-@query("match_titles")
+# Edit distance in SQL counts bytes, so letters beyond ASCII become capitals, which a
+# lower-cased title has none of.
+ONE_BYTE = "translate({}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+
+TITLES_SQL = f"""WITH RECURSIVE
+    ta AS (SELECT conv_id, turn AS ordinal, text AS title FROM conversations),
+    tb AS (SELECT conv_id, ordinal, CASE WHEN (conv_id + ordinal) % 3 = 0
+             THEN replace(title, 'an', 'en') || ' II' ELSE title END AS title
+           FROM ta WHERE (conv_id + ordinal) % 7 <> 0),
+    titles AS (SELECT 'A' AS side, *, {norm_sql('title')} AS norm FROM ta
+               UNION ALL SELECT 'B', *, {norm_sql('title')} FROM tb),
+    worded AS (SELECT *, regexp_extract_all(norm, '{text.WORD}{{2,}}') AS ws FROM titles),
+    tokens AS (SELECT * EXCLUDE ws, {TOKENS_SQL} AS toks FROM worded),
+    n AS (SELECT conv_id, count(*) AS n FROM tokens GROUP BY conv_id),
+    each AS (SELECT side, conv_id, ordinal, unnest(toks) AS token FROM tokens),
+    w AS (SELECT conv_id, token, (ln((1 + any_value(n))::DOUBLE / (1 + count(*))) + 1) ** 2 AS w
+          FROM each JOIN n USING (conv_id) GROUP BY conv_id, token),
+    weighed AS (SELECT * FROM each JOIN w USING (conv_id, token)),
+    lens AS (SELECT side, conv_id, ordinal, sqrt(sum(w)) AS len FROM weighed GROUP BY ALL),
+    dots AS (SELECT a.conv_id, a.ordinal AS i, b.ordinal AS j, sum(a.w) AS dot
+             FROM weighed a JOIN weighed b ON a.conv_id = b.conv_id AND a.token = b.token
+             WHERE a.side = 'A' AND b.side = 'B' GROUP BY ALL),
+    pairs AS (SELECT a.conv_id, a.ordinal AS i, b.ordinal AS j, a.norm AS na, b.norm AS nb, dot IS NOT NULL AS shares,
+                coalesce(round(dot / (la.len * lb.len), 12), least(length(a.norm), length(b.norm))::DOUBLE
+                  / greatest(length(a.norm), length(b.norm), 1)) AS near
+              FROM tokens a JOIN tokens b ON a.conv_id = b.conv_id AND a.side = 'A' AND b.side = 'B'
+              JOIN lens la ON la.side = 'A' AND la.conv_id = a.conv_id AND la.ordinal = a.ordinal
+              JOIN lens lb ON lb.side = 'B' AND lb.conv_id = b.conv_id AND lb.ordinal = b.ordinal
+              LEFT JOIN dots d ON d.conv_id = a.conv_id AND d.i = a.ordinal AND d.j = b.ordinal),
+    edges AS (SELECT conv_id, i, j, near, shares, CASE WHEN na = nb THEN 1.0 WHEN na = '' OR nb = '' THEN 0.0
+                ELSE 1.0 - levenshtein({ONE_BYTE.format('na')}, {ONE_BYTE.format('nb')})::DOUBLE
+                  / greatest(length(na), length(nb)) END::DOUBLE AS ratio FROM pairs),
+    turn AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ordinal) AS k FROM ta),
+    walk AS (
+      SELECT conv_id, 0::BIGINT AS k, NULL::BIGINT AS i, NULL::BIGINT AS got, []::BIGINT[] AS used
+      FROM turn WHERE k = 1
+      UNION ALL
+      SELECT conv_id, k, i, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END
+      FROM (
+        SELECT conv_id, k, i, used, CASE WHEN best.ratio >= 0.6 THEN best.j END AS got
+        FROM (
+          SELECT r.conv_id, r.k + 1 AS k, t.ordinal AS i, any_value(r.used) AS used,
+                 coalesce(max({{'ratio': ratio, 'near': near, 'j': j}}) FILTER (shares AND NOT list_contains(r.used, j)),
+                          max({{'ratio': ratio, 'near': near, 'j': j}}) FILTER (NOT list_contains(r.used, j))) AS best
+          FROM walk r JOIN turn t ON t.conv_id = r.conv_id AND t.k = r.k + 1
+          LEFT JOIN edges e ON e.conv_id = r.conv_id AND e.i = t.ordinal
+          GROUP BY r.conv_id, r.k, t.ordinal))),
+    took AS (SELECT conv_id, i, got FROM walk WHERE k > 0)
+    SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, a.ordinal AS ordinal_a, b.ordinal AS ordinal_b,
+           a.title AS title_a, b.title AS title_b,
+           CASE WHEN b.ordinal IS NULL THEN 'removed' WHEN a.ordinal IS NULL THEN 'added' ELSE 'matched' END AS status,
+           {strip_sql('a.title')} <> {strip_sql('b.title')} AS title_changed
+    FROM (SELECT ta.*, got FROM ta JOIN took ON took.conv_id = ta.conv_id AND took.i = ta.ordinal) a
+    FULL JOIN tb b ON a.conv_id = b.conv_id AND a.got = b.ordinal"""
+
+
+@query("match_titles", TITLES_SQL)
 def match_titles(spark, sf_dir):
     """Conversations as documents, turns as sections titled by their text."""
     turns = table(spark, sf_dir, "conversations").selectExpr(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sidematch.functions import dates, keys, text
 from sidematch.operators import stats
+from sidematch.operators.order import value_places
 from sidematch.operators.pages import drop_matching, non_blank
 from sidematch.sources.reports import explode_lines
 from workload.registry import query
@@ -217,18 +218,14 @@ _KEY_SPARK = _KEY_TEXT.format(
       CASE WHEN m IN (3, 5) THEN replace(raw, ',', '')::DOUBLE END AS num,
       CASE WHEN m = 2 THEN raw END AS str FROM k)
     SELECT o_orderkey, raw, rank::INT AS key_rank, num, str,
-      dense_rank() OVER (PARTITION BY rank, ts::DATE, floor(num / 100), str ORDER BY ts, num) AS place
+      dense_rank() OVER (ORDER BY rank, ts NULLS FIRST, num NULLS FIRST, str NULLS FIRST) AS place
     FROM v""".replace("INTERVAL '1:02:03' HOUR TO SECOND", "INTERVAL 3723 SECOND"))
 def sort_value_order(spark, sf_dir):
     raw = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_KEY_SPARK} AS raw")
-    val = raw.withColumn("v", keys.sort_value(F.col("raw")))
-    from pyspark.sql import Window
-
-    # Places are taken within small stretches of the key order.
-    near = Window.partitionBy("v.rank", F.to_date("v.ts"), F.floor(F.col("v.num") / 100), "v.str")
+    val = value_places(raw.withColumn("v", keys.sort_value(F.col("raw"))), "v", "place")
     return val.select(
         "o_orderkey", "raw", F.col("v.rank").alias("key_rank"), F.col("v.num").alias("num"),
-        F.col("v.str").alias("str"), F.dense_rank().over(near.orderBy("v")).cast("long").alias("place"),
+        F.col("v.str").alias("str"), "place",
     )
 
 
