@@ -18,13 +18,13 @@ from sidematch.functions.text import search
 from sidematch.operators import align, blocks, pages, pairing, rollup, stats
 from sidematch.operators.fuzzy import NAME_THRESHOLD, fuzzy_pairs
 from sidematch.operators.pages import non_blank
-from sidematch.operators.scan import CHUNK, Chunk
+from sidematch.operators.scan import CHUNK, Chunk, number_rows, spread_join
 from sidematch.session import materialize
 from sidematch.sources import rules as rule_columns
 from sidematch.sources.keyed import parse_keyed_rows
-from sidematch.sources.reports import explode_lines, read_reports
+from sidematch.sources.reports import explode_lines, read_file, read_reports
 from sidematch.sources.rules import Rule, resolve_rules
-from sidematch.sources.sinks import pair_name, write_result
+from sidematch.sources.sinks import pair_name, unique_names, write_manifest, write_result
 
 PAIR = ["pair_id"]
 SIDES = ["side", "pair_id", "rule_no"]
@@ -41,13 +41,19 @@ class Options:
     semantic: bool = False
     keep_blank: bool = False
     page_diffs: bool = False
+    part_diffs: bool = False
     context: int = align.CONTEXT
 
 
 @dataclass(frozen=True)
 class Comparison:
     """Result tables.  All but ``extracts``, ``folder`` and ``dashboard`` have a
-    ``pair_id``; those not asked for, or that no rule asks for, are None."""
+    ``pair_id``; those not asked for, or that no rule asks for, are None.
+
+    ``status_counts`` has a row per pair and kind of part (page, section, transaction,
+    summary, row); ``part_diff_rows`` the diff rows of every part but rows that is on both
+    sides and differs, named by ``part`` and A's ``part_no``.
+    """
 
     pairs: DataFrame
     summary: DataFrame
@@ -60,6 +66,8 @@ class Comparison:
     diff_rows: DataFrame
     unified_diff: DataFrame
     page_diff_rows: DataFrame | None
+    status_counts: DataFrame
+    part_diff_rows: DataFrame | None
     folder: DataFrame
     dashboard: DataFrame
 
@@ -67,7 +75,9 @@ class Comparison:
 def pair_up(docs: DataFrame, options: Options) -> DataFrame:
     """``pair_id, doc_a, doc_b, file_a, file_b, match_type, name_ratio, pair_name,
     error`` for pairs and unmatched documents of ``docs`` (both sides)."""
-    named = docs.select("side", "doc_id", "match_name", "file_name", F.col("text").isNull().alias("bad"))
+    said = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    bad = F.when(F.col("text").isNull(), F.coalesce(said, F.lit("text could not be read")))
+    named = docs.select("side", "doc_id", "match_name", "file_name", bad.alias("bad"))
     a, b = (named.where(F.col("side") == s).drop("side") for s in "AB")
     found = pairing.pair_docs(a, b).withColumn(
         "name_ratio", F.when(F.col("match_type") == "exact", F.lit(1.0))
@@ -97,16 +107,16 @@ def pair_up(docs: DataFrame, options: Options) -> DataFrame:
         )
 
     out = found.join(attributes(a, "a"), "doc_a", "left").join(attributes(b, "b"), "doc_b", "left")
-    unreadable = F.coalesce("_bad_a", F.lit(False)) | F.coalesce("_bad_b", F.lit(False))
-    return out.withColumns(
+    out = out.withColumns(
         {
             "pair_id": F.when(F.col("doc_a").isNull(), F.concat(F.lit("B:"), "doc_b")).otherwise(
                 F.concat(F.lit("A:"), "doc_a")
             ),
             "pair_name": pair_name(F.col("file_a"), F.col("file_b"), F.col("match_type")),
-            "error": F.when(unreadable, F.lit("text could not be read")),
+            "error": F.coalesce("_bad_a", "_bad_b"),
         }
     ).drop("_bad_a", "_bad_b")
+    return unique_names(out)
 
 
 def parse(
@@ -219,6 +229,19 @@ def compare(
         view = body.where(~rule_columns.has(rules, "key_slices"))
 
     # Only pairs that differ are aligned.
+    parts = _Parts(side, chunk)
+    parts.add("page", page_results, F.col("page_no"), filled.withColumn("part_no", F.col("page_no")))
+    parts.add("section", sections, F.col("ordinal_a"), _numbered_by_a(
+        non_blank(section_lines.where(~F.col("is_marker"))), sections, "section_id", "ordinal", "pos", chunk))
+    if transactions is not None:
+        order = _transaction_pairs(txns, chunk)
+        parts.add("transaction", transactions.join(order, ["pair_id", "sort_key", "occ"], "left"), F.col("ordinal_a"),
+                  _numbered_by_a(txns, order, "txn_id", "ordinal", "pos", chunk))
+    if summary_sections is not None:
+        parts.add("summary", summary_sections, F.col("block_no"), found.withColumn("part_no", F.col("block_no")))
+    if rows is not None:
+        parts.add("row", rows, None, None)
+
     differing = stats.changed(content).select("pair_id")
     view = view.join(differing, PAIR, "left_semi").select("side", "pair_id", "pos", "line_no", "line")
     indexed = materialize(align.index_lines(view, ["side", "pair_id"], "pos", chunk).drop("pos"))
@@ -237,11 +260,65 @@ def compare(
         pairs=pairs, summary=summary, pages=page_results, sections=sections,
         transactions=transactions, summary_sections=summary_sections, rows=rows,
         extracts=extract(docs, rules, options.ignore_lines) if options.extract else None,
-        diff_rows=diffs, unified_diff=unified, page_diff_rows=page_diff_rows, folder=rollup.folder_summary(everything),
+        diff_rows=diffs, unified_diff=unified, page_diff_rows=page_diff_rows,
+        status_counts=parts.counts(), part_diff_rows=parts.diffs(normalize, options.context) if options.part_diffs else None,
+        folder=rollup.folder_summary(everything),
         dashboard=rollup.dashboard(everything),
     )
 
 
+class _Parts:
+    """Results and lines of all kinds of parts, so that one plan counts and aligns them."""
+
+    def __init__(self, side, chunk: Chunk):
+        self.side, self.chunk = side, chunk
+        self.results, self.lines = [], []
+
+    def add(self, part: str, results: DataFrame, part_no, lines: DataFrame | None) -> None:
+        number = F.lit(None).cast("long") if part_no is None else part_no.cast("long")
+        self.results.append(results.select(
+            "pair_id", F.lit(part).alias("part"), number.alias("part_no"), "status", "similarity_ratio"))
+        if lines is not None:
+            self.lines.append(lines.select(
+                "side", "pair_id", F.lit(part).alias("part"), F.col("part_no").cast("long").alias("part_no"),
+                "pos", "line_no", "line"))
+
+    def counts(self) -> DataFrame:
+        return rollup.status_counts(_union(self.results), ["pair_id", "part"])
+
+    def diffs(self, normalize, context: int) -> DataFrame:
+        lines, by = _union(self.lines), ["pair_id", "part", "part_no"]
+        return align.part_diffs(
+            self.side(lines, "A"), self.side(lines, "B"), _union(self.results), by, "line_no", normalize, context, self.chunk)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _numbered_by_a(lines: DataFrame, pairs: DataFrame, own: str, ordinal: str, pos: str, chunk: Chunk) -> DataFrame:
+    """Lines of paired parts of both sides with ``part_no``, the number of A's part."""
+    def numbers(tag: str) -> DataFrame:
+        both = pairs.where(F.col(f"{ordinal}_a").isNotNull() & F.col(f"{ordinal}_b").isNotNull())
+        return both.select(F.lit(tag).alias("side"), "pair_id", F.col(f"{ordinal}_{tag.lower()}").alias(own),
+                           F.col(f"{ordinal}_a").alias("part_no"))
+
+    return spread_join(lines, numbers("A").unionByName(numbers("B")), ["side", "pair_id", own], pos, chunk, "inner")
+
+
+def _transaction_pairs(txns: DataFrame, chunk: Chunk) -> DataFrame:
+    """``pair_id, sort_key, occ, ordinal_a, ordinal_b``: transactions of both sides, the
+    k-th of a sort key with the k-th."""
+    each = txns.groupBy("side", "pair_id", "sort_key", "txn_id").agg(F.lit(1).alias("_one"))
+    each = number_rows(each, ["side", "pair_id", "sort_key"], "txn_id", "occ", chunk)
+    return each.groupBy("pair_id", "sort_key", "occ").agg(
+        F.max(F.when(F.col("side") == "A", F.col("txn_id"))).alias("ordinal_a"),
+        F.max(F.when(F.col("side") == "B", F.col("txn_id"))).alias("ordinal_b"))
+
+
 def extract(
     docs: DataFrame, rules: Sequence[Rule], ignore: Sequence[str] = ()
 ) -> DataFrame | None:
@@ -273,20 +350,47 @@ def compare_folders(
     rules: Sequence[Rule] = (),
     options: Options = Options(),
     exts: Sequence[str] = (".txt",),
+    max_bytes: int | None = None,
+) -> Comparison:
+    """Compare the report files of two folders.
+
+    A file that cannot be read, or is longer than ``max_bytes``, leaves an ``error`` at its
+    pair in ``pairs`` and is counted in ``folder``; all other pairs are compared.
+    """
+    docs = read_reports(spark, folder_a, "A", exts, max_bytes).unionByName(
+        read_reports(spark, folder_b, "B", exts, max_bytes))
+    # the files are read once; whatever fails, fails here
+    return compare(materialize(docs), rules, options)
+
+
+def compare_files(
+    spark: SparkSession,
+    file_a: str,
+    file_b: str,
+    rules: Sequence[Rule] = (),
+    options: Options = Options(),
+    max_bytes: int | None = None,
 ) -> Comparison:
-    """Compare the report files of two folders."""
-    docs = read_reports(spark, folder_a, "A", exts).unionByName(read_reports(spark, folder_b, "B", exts))
-    return compare(docs, rules, options)
+    """Compare two report files, whatever their names and extensions."""
+    a, b = read_file(spark, file_a, "A", max_bytes), read_file(spark, file_b, "B", max_bytes)
+    docs = a.unionByName(b).withColumn("match_name", F.lit("pair"))
+    return compare(materialize(docs), rules, options)
 
 
 def write_results(result: Comparison, path: str) -> None:
-    """The CSV results below ``path``: one folder per kind and in it one per pair."""
+    """The CSV results below ``path``: one folder per kind and in it one per pair.
+
+    ``manifest`` is written last, with a row per kind and pair: results it does not list
+    are of a run that did not end.
+    """
+    kinds = []
     named = result.pairs.where(F.col("pair_name").isNotNull()).select("pair_id", "pair_name")
 
     def out(df: DataFrame, kind: str, order: list, columns: list[str]) -> None:
         joined = df.join(named, PAIR)
         hidden = [c.alias(f"_o{i}") for i, c in enumerate(order)]
         rows = joined.select("pair_name", *columns, *hidden)
+        kinds.append((kind, "pair_name"))
         write_result(rows, f"{path}/{kind}", "pair_name", [F.col(f"_o{i}") for i in range(len(order))])
 
     if result.transactions is not None:
@@ -307,3 +411,5 @@ def write_results(result: Comparison, path: str) -> None:
         rows = result.extracts.select("extract_name", "sort_key", "line", *hidden)
         order = ["_sort_val", "_txn_id", "_pos"]
         write_result(rows, f"{path}/extracts", "extract_name", order, header=False)
+        kinds.append(("extracts", "extract_name"))
+    write_manifest(named.sparkSession, path, kinds)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,32 +15,50 @@ DOC_KEYS = ["side", "doc_id"]
 
 
 def read_reports(
-    spark: SparkSession, path: str, side: str, exts: Sequence[str] = (".txt",)
+    spark: SparkSession, path: str, side: str, exts: Sequence[str] = (".txt",), max_bytes: int | None = None
 ) -> DataFrame:
     """Files directly inside ``path`` with one of the extensions (any case), one row
-    per lower-cased file name: ``side, doc_id, file_name, match_name, ext, text``.
+    per lower-cased file name: ``side, doc_id, file_name, match_name, ext, text, error``.
 
     When names differ in case only, the last one in file-name order is kept.  Bytes
-    that are not UTF-8 become replacement characters.
+    that are not UTF-8 become replacement characters.  A file longer than ``max_bytes``
+    (by default what Spark puts into one cell), or one that fails while it is read, has
+    no text but an ``error``.
     """
     wanted = [e.lower() for e in exts]
     # A glob that ignores case, so that other files are not even listed for reading.
     globs = ["*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted]
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "{" + ",".join(globs) + "}")
-        .load(path)
-        .select(
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-            F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-        )
-        .withColumn("match_name", F.lower("file_name"))
-        .withColumn("ext", F.lower(F.regexp_extract("file_name", r"[^.](\.[^.]+)$", 1)))
-        .where(F.col("ext").isin(wanted))
-    )
-    newest = Window.partitionBy("match_name").orderBy(F.col("file_name").desc())
+    return _files(spark, path, side, max_bytes, "{" + ",".join(globs) + "}").where(F.col("ext").isin(wanted))
+
+
+def read_file(spark: SparkSession, path: str, side: str, max_bytes: int | None = None) -> DataFrame:
+    """One file of any name, as ``read_reports`` gives it."""
+    return _files(spark, path, side, max_bytes, None)
+
+
+def _files(spark: SparkSession, path: str, side: str, max_bytes: int | None, names: str | None) -> DataFrame:
+    def source() -> DataFrame:
+        reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        return (reader.option("pathGlobFilter", names) if names else reader).load(path)
+
+    found = source()
+    longest = max_bytes or int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name")
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    read = found.where(F.col("length") <= longest).select(name, text, F.lit(None).cast("string").alias("error"))
+    over = found.where(F.col("length") > longest).select(
+        name, F.lit(None).cast("string").alias("text"), F.lit(f"longer than {longest} bytes").alias("error"))
+    # the list of files, which Spark made when it opened the folder
+    listed = spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]),) for p in found.inputFiles()], "file_name string")
+    failed = listed.select("file_name", F.lit(None).cast("string").alias("text"), F.lit("could not be read").alias("error"))
+    newest = Window.partitionBy("match_name").orderBy(F.col("file_name").desc(), F.col("_failed"))
+    files = read.unionByName(over).withColumn("_failed", F.lit(0)).unionByName(failed.withColumn("_failed", F.lit(1)))
     return (
-        files.withColumn("_k", F.row_number().over(newest))
+        files.withColumns({
+            "match_name": F.lower("file_name"),
+            "ext": F.lower(F.regexp_extract("file_name", r"[^.](\.[^.]+)$", 1)),
+        })
+        .withColumn("_k", F.row_number().over(newest))
         .where("_k = 1")
         .select(
             F.lit(side).alias("side"),
@@ -48,6 +67,7 @@ def read_reports(
             "match_name",
             "ext",
             "text",
+            "error",
         )
     )
 

@@ -3,7 +3,7 @@
 import csv
 import glob
 
-from sidematch.plans.compare import Options, compare_folders, write_results
+from sidematch.plans.compare import Options, compare_files, compare_folders, write_results
 from sidematch.sources.reports import read_lines, read_reports
 from sidematch.sources.rules import Rule
 
@@ -35,7 +35,7 @@ def test_compare_folders(spark, tmp_path):
     docs = read_reports(spark, str(a), "A", [".txt", ".CSV"])
     assert {r.file_name for r in docs.collect()} == {"TER 1.TXT", "same.txt", "list_v1.csv", "lonely_document.txt"}
     result = compare_folders(
-        spark, str(a), str(b), rules, Options(fuzzy=True, transactions=True, extract=True, semantic=True),
+        spark, str(a), str(b), rules, Options(fuzzy=True, transactions=True, extract=True, semantic=True, part_diffs=True),
         [".txt", ".csv"],
     )
     pairs = {r.pair_name: (r.match_type, r.name_ratio) for r in result.pairs.collect() if r.pair_name}
@@ -60,6 +60,16 @@ def test_compare_folders(spark, tmp_path):
     text = [r.text for r in result.unified_diff.where("pair_id = 'A:ter 1.txt'").orderBy("row_pos").collect()]
     assert "-amount 2" in text and "+amount 5" in text
 
+    counts = {(r.pair_id[2:], r.part): (r.identical, r.minor + r.moderate + r.significant, r.added, r.removed)
+              for r in result.status_counts.collect()}
+    assert counts["ter 1.txt", "transaction"] == (2, 1, 0, 0) and counts["ter 1.txt", "summary"][1] == 1
+    assert counts["list_v1.csv", "row"] == (1, 1, 1, 0)
+    diffs = {}
+    for r in result.part_diff_rows.where("pair_id = 'A:ter 1.txt' AND kind IN (1, 2)").orderBy("row_no").collect():
+        diffs.setdefault((r.part, r.part_no), []).append(r.text)
+    assert diffs["transaction", 2] == diffs["section", 2] == diffs["page", 2] == ["amount 2", "amount 5"]
+    assert [x for (part, _), x in diffs.items() if part == "summary"] == [["sum 6", "sum 9"]]
+
     out = str(tmp_path / "out")
     write_results(result, out)
 
@@ -82,6 +92,47 @@ def test_compare_folders(spark, tmp_path):
     assert read("extracts", "A_TER 1", "extract_name")[:2] == [["001", "FN1 001"], ["001", "amount 1"]]
 
 
+def test_faults_names_and_two_files(spark, tmp_path):
+    """An over-long and a vanished file spoil their own pairs only; equal stems give two
+    results; two files are compared whatever their names."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    for d in (a, b):
+        d.mkdir()
+        for name in ("report.txt", "Report.csv", "gone.txt"):
+            (d / name).write_text("TXN 1\nsame\n" + ("TXN 2\n" if d is b else ""))
+    (a / "huge.txt").write_text("x" * 500)
+    (b / "huge.txt").write_text("x")
+    rules = [Rule(".*", sort_pattern=r"^TXN (\d+)")]
+    import sidematch.plans.compare as plan
+
+    reading = plan.read_reports
+
+    def vanishing(spark, path, *rest):
+        docs = reading(spark, path, *rest)
+        (a / "gone.txt").unlink(missing_ok=True)
+        return docs
+
+    plan.read_reports = vanishing
+    try:
+        result = compare_folders(spark, str(a), str(b), rules, Options(transactions=True), [".txt", ".csv"], max_bytes=400)
+    finally:
+        plan.read_reports = reading
+    errors = {r.doc_a: r.error for r in result.pairs.collect()}
+    assert errors == {"report.txt": None, "report.csv": None, "gone.txt": "could not be read", "huge.txt": "longer than 400 bytes"}
+    folder = result.folder.first()
+    assert (folder.exact_pairs, folder.errors) == (4, 2)
+    assert {r.pair_id for r in result.summary.collect()} == {"A:report.txt", "A:report.csv"}
+    assert {r.pair_name for r in result.pairs.collect()} == {"report.txt", "Report.csv", "gone", "huge"}
+    out = str(tmp_path / "out")
+    write_results(result, out)
+    manifest = {(r.kind, r.name) for r in spark.read.csv(f"{out}/manifest", header=True).collect()}
+    assert manifest == {("transactions", "report.txt"), ("transactions", "Report.csv")}
+
+    two = compare_files(spark, str(a / "report.txt"), str(b / "Report.csv"), rules)
+    assert [(r.file_a, r.file_b, r.match_type, r.error) for r in two.pairs.collect()] == [("report.txt", "Report.csv", "exact", None)]
+    assert two.summary.first().lines_added == 1
+
+
 def test_read_lines(spark, tmp_path):
     path = tmp_path / "big.log"
     path.write_text("".join(f"line {i}\n" for i in range(1, 5001)))
