@@ -87,10 +87,11 @@ def find(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
     keys = wanted.select("h").distinct()
     small = wanted.count() <= BROADCAST_WINDOWS
     widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())
-    texts = docs.select(F.col("doc_id"), template(unit_marked(F.col("text"))).alias("_w")).where(
-        F.size("_w") >= F.lit(widths[0] if widths else width))
-    every = [windows("_w", w) for w in widths or [width]]
-    seen = texts.select("doc_id", F.explode(F.expr(every[0] if len(every) == 1 else f"concat({', '.join(every)})")).alias("_x")).select(
+    every = [windows("w", w) for w in widths or [width]]
+    # the template is a lambda's argument, so that it is made once; a filter on its size
+    # would make it a second time
+    texts = docs.select("doc_id", F.array(template(unit_marked(F.col("text")))).alias("_w"))
+    seen = texts.select("doc_id", F.explode(F.expr(f"flatten(transform(_w, w -> concat({', '.join(every)})))")).alias("_x")).select(
         "doc_id", F.col("_x.at").alias("_doc_at"), F.col("_x.h").alias("h"))
     hits = materialize(seen.join(F.broadcast(keys) if small else keys, "h"))
     lines = (
@@ -136,9 +137,11 @@ def find(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
 
     pairs = f"""array_distinct(filter(flatten(transform(_at, x -> transform(sequence(0, width - 1), k -> struct(
         {value('_ip', '_iv', 'x.at + k')} AS a, {value('_dp', '_v', 'x.at + k + x.shift')} AS b)))), x -> x.a IS NOT NULL AND x.b IS NOT NULL))"""
+    # stored, so that neither the places nor the pairs are worked out once per use
+    placed = materialize(found.withColumns({"_dp": placeholders("_w"), "_ip": placeholders("_iw")}).drop("_w"))
+    paired = materialize(placed.withColumn("_p", F.expr(pairs)).drop("_dp", "_ip", "_v", "_iv", "_at"))
     held = (
-        found.withColumn("_dp", placeholders("_w")).withColumn("_ip", placeholders("_iw")).withColumn("_p", F.expr(pairs))
-        .where("size(_p) = size(array_distinct(_p.a)) AND size(_p) = size(array_distinct(_p.b))")
+        paired.where("size(_p) = size(array_distinct(_p.a)) AND size(_p) = size(array_distinct(_p.b))")
         .withColumn("slots_changed", F.exists("_p", lambda x: x["a"] != x["b"]))
         .where(f"NOT slots_changed OR exists(_iw, w -> w NOT IN ('{A_NUMBER}', '{A_NAME}', '{A_UNIT}'))")
     )
@@ -148,6 +151,9 @@ def find(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold none of ``items``, with all columns."""
-    held = materialize(find(docs, items).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of ``docs`` that hold none of ``items``, with all columns, whatever their
+    names.  Null and empty texts stay, repeated rows stay or go together, rows without
+    ``doc_id`` are one document."""
+    key = "_held" + "_" * max(map(len, docs.columns))
+    held = materialize(find(docs, items).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
