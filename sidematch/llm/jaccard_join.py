@@ -473,5 +473,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 
     # only ids that stand on several rows need their texts compared
-    several = rows_of(found.where("_n > 1")).withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    text = "_text" + "_" * max(map(len, docs.columns))
+    several = rows_of(found.where("_n > 1")).withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
     return rows_of(found.where("_n = 1")).unionByName(several)

@@ -9,12 +9,12 @@ from sidematch.llm import decontam, jaccard_join, langid, license, lm_score, pac
 WORDS = "the cat sat on a mat and the dog ran to 12 houses with Anna Smith near Berlin in 5 km of road"
 TEXTS = [None, "", " \n\t", "12 34", "Word", WORDS, WORDS, WORDS.replace("12", "90").replace("Anna Smith", "Bob Jones"),
          "x" * 200_000, "a b " * 3000, "Licensed under the Apache License, Version 2.0.", "le chat noir est sur la table de la maison " * 3]
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, host string, score double, label long, hot string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, host string, score double, label long, hot string, _id long, _h string"
 
 
 def docs_of(spark, texts):
-    rows = [(i, t, ["en", "fr", None][i % 3], [None, "a", "b"][i % 3], 1, "h", 0.5, 1, "x") for i, t in enumerate(texts)]
-    rows += [(None, "lost id", None, None, None, None, None, None, None)] * 2 + rows[-1:] if texts else []
+    rows = [(i, t, ["en", "fr", None][i % 3], [None, "a", "b"][i % 3], 1, "h", 0.5, 1, "x", 7, "y") for i, t in enumerate(texts)]
+    rows += [(None, "lost id", *[None] * 9)] * 2 + rows[-1:] if texts else []
     return spark.createDataFrame(rows, COLUMNS)
 
 
