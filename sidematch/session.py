@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of one group that a single task may sort and scan.
-MAX_GROUP_ROWS = 1 << 20
+# Rows of one group that a single task may sort and scan; larger ones are cut into blocks
+# of as many.
+MAX_GROUP_ROWS = 1 << 16
 
 _SHIPPED: set[str] = set()
 
@@ -25,7 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="sidematch-")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -15,7 +15,7 @@ from workload.registry import query
 from workload.sides import (
     ITEM_COLUMNS, ITEM_SQL, NAME_SQL, ORDER_SQL, item_slice, items, named_docs, order_lines, table,
 )
-from workload.text_queries import TOKENS_SQL, mask_sql, norm_sql, strip_sql
+from workload.text_queries import ONE_BYTE, TOKENS_SQL, mask_sql, norm_sql, strip_sql
 
 RULES = [
     Rule(r"^src1_.*", split_pattern=r"^INVOICE NO:\s+(\S+)"),
@@ -169,10 +169,6 @@ def changed_columns(spark, sf_dir):
     )
 
 
-# Edit distance in SQL counts bytes, so letters beyond ASCII become capitals, which a
-# lower-cased title has none of.
-ONE_BYTE = "translate({}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
-
 TITLES_SQL = f"""WITH RECURSIVE
     ta AS (SELECT conv_id, turn AS ordinal, text AS title FROM conversations),
     tb AS (SELECT conv_id, ordinal, CASE WHEN (conv_id + ordinal) % 3 = 0

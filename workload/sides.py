@@ -17,9 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+# Some documents are on one side only, none on neither.
+IN_A, IN_B = "(doc_id % 23 <> 0 OR doc_id % 19 = 0)", "doc_id % 19 <> 0"
+
+
 def _texts(spark, sf_dir, side):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.where("doc_id % 23 <> 0" if side == "A" else "doc_id % 19 <> 0")
+    docs = docs.where(IN_A if side == "A" else IN_B)
     return docs.selectExpr(
         "doc_id", r"split(regexp_replace(text, '\\r\\n?', '\n'), '\n', -1) AS arr"
     )
@@ -42,12 +46,12 @@ def text_docs(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return docs.selectExpr("doc_id", f"array_join({edited}, '\\n') AS text")
 
 
-TEXT_SQL = r"""
+TEXT_SQL = rf"""
 txt AS (
   SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS arr
   FROM documents),
 raw AS (SELECT doc_id, unnest(arr) AS line, generate_subscripts(arr, 1) AS n FROM txt),
-lines_a AS (SELECT doc_id, n AS line_no, line FROM raw WHERE doc_id % 23 <> 0),
+lines_a AS (SELECT doc_id, n AS line_no, line FROM raw WHERE {IN_A}),
 edited AS (
   SELECT doc_id, n, CASE WHEN (doc_id + n) % 11 = 0 THEN line || ' [rev]' ELSE line END AS line,
          unnest(CASE WHEN (doc_id * 7 + n) % 17 = 0 THEN [1, 2] ELSE [1] END) AS c,
@@ -91,13 +95,13 @@ def report_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("A").unionByName(side("B"))
 
 
-REPORT_SQL = r"""
+REPORT_SQL = rf"""
 txt AS (
   SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS arr
   FROM documents),
 raw AS (SELECT doc_id, unnest(arr) AS l, generate_subscripts(arr, 1) - 1 AS i FROM txt),
 both_sides AS (
-  SELECT 'A' AS side, doc_id, l, i FROM raw WHERE doc_id % 23 <> 0
+  SELECT 'A' AS side, doc_id, l, i FROM raw WHERE {IN_A}
   UNION ALL SELECT 'B', doc_id, l, i FROM raw WHERE doc_id % 19 <> 0),
 parts AS (
   SELECT side, doc_id, i,

@@ -45,19 +45,29 @@ def line_sides(spark, sf_dir):
     return tuple(explode_lines(text_docs(spark, sf_dir, s), ["doc_id"]) for s in "AB")
 
 
-@query("line_explode", f"WITH {TEXT_SQL} SELECT doc_id, line_no, line FROM lines_b")
+def both_sides(spark, sf_dir):
+    a, b = line_sides(spark, sf_dir)
+    return a.withColumn("side", F.lit("A")).unionByName(b.withColumn("side", F.lit("B")))
+
+
+BOTH_SQL = f"""{TEXT_SQL},
+    both_lines AS (SELECT 'A' AS side, doc_id, line_no, line FROM lines_a
+                   UNION ALL SELECT 'B', doc_id, line_no, line FROM lines_b)"""
+
+
+@query("line_explode", f"WITH {BOTH_SQL} SELECT side, doc_id, line_no, line FROM both_lines")
 def line_explode(spark, sf_dir):
-    return line_sides(spark, sf_dir)[1]
+    return both_sides(spark, sf_dir)
 
 
 @query(
     "ignore_lines",
-    f"""WITH {TEXT_SQL} SELECT doc_id, line_no, line FROM lines_a
+    f"""WITH {BOTH_SQL} SELECT side, doc_id, line_no, line FROM both_lines
     WHERE NOT regexp_matches(line, '[0-9]{{3}}') AND NOT regexp_matches(line, '^(The|Le|Das) ')
       AND regexp_matches(line, '[^{WS}]')""",
 )
 def ignore_lines(spark, sf_dir):
-    lines = line_sides(spark, sf_dir)[0]
+    lines = both_sides(spark, sf_dir)
     return non_blank(drop_matching(lines, [r"[0-9]{3}", r"^(The|Le|Das) "]))
 
 
@@ -235,33 +245,36 @@ TOKENS_SQL = f"""list_distinct(CASE WHEN len(ws) = 0 THEN [norm] WHEN len({_USEF
     ELSE {_USEFUL} END)"""
 
 # Every line of a text taken as a title.
-@query("title_tokens_idf", f"""WITH {TEXT_SQL},
-    t AS (SELECT doc_id, line_no, {norm_sql('line')} AS norm FROM lines_a),
+@query("title_tokens_idf", f"""WITH {BOTH_SQL},
+    t AS (SELECT {norm_sql('line')} AS norm FROM both_lines),
     w AS (SELECT norm, regexp_extract_all(norm, '{text.WORD}{{2,}}') AS ws FROM t),
     k AS (SELECT unnest({TOKENS_SQL}) AS token FROM w),
     d AS (SELECT token, count(*) AS titles FROM k GROUP BY token)
     SELECT token, titles, round(ln((1 + n)::DOUBLE / (1 + titles)) + 1, 6) AS idf
-    FROM d, (SELECT count(*) AS n FROM lines_a)""")
+    FROM d, (SELECT count(*) AS n FROM both_lines)""")
 def title_tokens_idf(spark, sf_dir):
     from sidematch.operators.titles import idf_weights
 
-    titles = line_sides(spark, sf_dir)[0].select(text.normalize_title(F.col("line")).alias("norm"))
+    titles = both_sides(spark, sf_dir).select(text.normalize_title(F.col("line")).alias("norm"))
     tokens = titles.select(F.explode(text.title_tokens(F.col("norm"))).alias("token"))
     return idf_weights(tokens, titles.agg(F.count("*").alias("n"))).select(
         "token", "titles", F.round("idf", 6).alias("idf")
     )
 
 
+# Edit distance in SQL counts bytes, so letters beyond ASCII become capitals, which a
+# lower-cased title has none of.
+ONE_BYTE = "translate({}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+
+
 @query("edit_ratio", f"""WITH {TEXT_SQL},
-    s AS (SELECT a.doc_id, a.line_no,
-            regexp_replace({norm_sql('a.line')}, '[^ -~]', '?', 'g') AS a,
-            regexp_replace({norm_sql('b.line')}, '[^ -~]', '?', 'g') AS b
+    s AS (SELECT a.doc_id, a.line_no, {ONE_BYTE.format(norm_sql('a.line'))} AS a,
+            {ONE_BYTE.format(norm_sql('b.line'))} AS b
           FROM lines_a a JOIN lines_b b ON a.doc_id = b.doc_id AND a.line_no = b.line_no)
     SELECT doc_id, line_no, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE
       ELSE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ratio FROM s""")
 def edit_ratio(spark, sf_dir):
-    # The check measures bytes, so other characters are replaced on both sides.
-    title = F.regexp_replace(text.normalize_title(F.col("line")), "[^ -~]", "?")
+    title = text.normalize_title(F.col("line"))
     a, b = line_sides(spark, sf_dir)
     rows = a.select("doc_id", "line_no", title.alias("a")).join(
         b.select("doc_id", "line_no", title.alias("b")), ["doc_id", "line_no"]
