@@ -14,7 +14,6 @@ so a range is encoded with the pieces at its ends whole.
 from __future__ import annotations
 
 import hashlib
-import json
 import pickle
 import re
 from collections.abc import Iterator
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sidematch.session import materialize
 from .common import map_batches, mix
+from .tokens import BYTE_PATTERN, byte_ranks
 
 # Bytes of one range of a long document.
 RANGE_BYTES = 1 << 15
@@ -152,10 +152,6 @@ def fragment(a_ids, a_ends, b_ids, b_ends, a_start: int = 0, b_start: int = 0) -
     return Fragment(between(0, 0, i, j), between(k, m, n_a, n_b), True, n_a, n_b, n, [links] if n else [], [text] if n else [])
 
 
-# Fixed value: how byte-level models of this kind cut texts before they merge letters.
-A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 class Pair:
     """Two tokenizers over the same bytes: a text with a space before it.
 
@@ -167,16 +163,11 @@ class Pair:
         from sentencepiece import SentencePieceProcessor
         from tiktoken import Encoding
 
-        with open(a_path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocabulary, merges = model["vocab"], model["merges"]
-        pairs = ((m if isinstance(m, list) else m.split(" ")) for m in merges)
-        if any(vocabulary["".join(m)] != 256 + i for i, m in enumerate(pairs)):
-            raise ValueError(f"{a_path}: ids do not follow the order of merges")
-        letters = {spelled: byte for byte, spelled in _byte_letters().items()}
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
+        ranks = byte_ranks(a_path)
+        if ranks is None:
+            raise ValueError(f"{a_path}: not a byte-level model with ids in the order of its merges")
         # without special tokens their strings inside texts are plain text
-        self.a = Encoding("a", pat_str=A_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a = Encoding("a", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_file=b_path)
         if self.b.get_piece_size() > B_IDS:
             raise ValueError(f"{b_path}: ids beyond {B_IDS}")
@@ -227,14 +218,6 @@ class Pair:
         return fragment(*args, *starts)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter by which byte-level tokenizers write each byte: printable ones as they
-    are, the others as the letters from U+0100 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {**{b: chr(b) for b in plain}, **{b: chr(0x100 + k) for k, b in enumerate(others)}}
-
-
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
 

@@ -14,6 +14,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from sidematch.llm import token_align
 from sidematch.llm.token_align import Fragment, fragment
+from sidematch.llm.tokens import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -28,7 +29,7 @@ def plain(texts):
     a, b = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
     letters = {ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0]: c for c in range(128)}
-    letters |= dict(zip(token_align._byte_letters().values(), token_align._byte_letters()))
+    letters |= {letter: byte for byte, letter in byte_letters().items()}
     spelled = {i: t for t, i in a.get_vocab().items()}
     links, heads = [], []
     for text in texts:
