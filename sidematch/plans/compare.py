@@ -6,6 +6,7 @@ is written once and read by every comparison.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from sidematch.operators.scan import CHUNK, Chunk, number_rows, spread_join
 from sidematch.session import materialize
 from sidematch.sources import rules as rule_columns
 from sidematch.sources.keyed import parse_keyed_rows
-from sidematch.sources.reports import explode_lines, read_file, read_reports
+from sidematch.sources.reports import explode_lines, read_file, read_lines, read_reports
 from sidematch.sources.rules import Rule, resolve_rules
 from sidematch.sources.sinks import pair_name, unique_names, write_manifest, write_result
 
@@ -42,6 +43,7 @@ class Options:
     keep_blank: bool = False
     page_diffs: bool = False
     part_diffs: bool = False
+    stream_long: bool = False
     context: int = align.CONTEXT
 
 
@@ -76,7 +78,8 @@ def pair_up(docs: DataFrame, options: Options) -> DataFrame:
     """``pair_id, doc_a, doc_b, file_a, file_b, match_type, name_ratio, pair_name,
     error`` for pairs and unmatched documents of ``docs`` (both sides)."""
     said = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
-    bad = F.when(F.col("text").isNull(), F.coalesce(said, F.lit("text could not be read")))
+    as_lines = F.col("long") if "long" in docs.columns else F.lit(False)
+    bad = F.when(F.col("text").isNull() & ~as_lines, F.coalesce(said, F.lit("text could not be read")))
     named = docs.select("side", "doc_id", "match_name", "file_name", bad.alias("bad"))
     a, b = (named.where(F.col("side") == s).drop("side") for s in "AB")
     found = pairing.pair_docs(a, b).withColumn(
@@ -120,20 +123,26 @@ def pair_up(docs: DataFrame, options: Options) -> DataFrame:
 
 
 def parse(
-    docs: DataFrame, rules: Sequence[Rule], ignore: Sequence[str] = (), chunk: Chunk = CHUNK
+    docs: DataFrame, rules: Sequence[Rule], ignore: Sequence[str] = (), chunk: Chunk = CHUNK,
+    lines: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(pages, repeating)`` of documents ``side, pair_id, rule_no, text``: page lines
     with ``pos, line_no, line, page_no, role``, and the repeating headers and footers.
     Lines to ignore leave the body (role ``ignored``) after headers and footers are
-    found."""
+    found.  ``lines`` (``side, pair_id, rule_no, line_no, line``) are of documents too long
+    for a cell: they have pages by their rule's split pattern, or are one page."""
     split = rule_columns.split_value(rules)
     cut = rule_columns.has(rules, "split_pattern")
     parts = pages.pages_by_delimiter(docs.where(~cut), SIDES)
     if split is not None:
-        lines = explode_lines(docs.where(cut), SIDES).withColumn("pos", F.col("line_no"))
-        parts = parts.unionByName(
-            pages.pages_by_value_change(lines, split, SIDES, "pos", chunk), allowMissingColumns=True
-        )
+        cut_lines = explode_lines(docs.where(cut), SIDES)
+        if lines is not None:
+            cut_lines = cut_lines.unionByName(lines.where(cut))
+        parts = parts.unionByName(pages.pages_by_value_change(
+            cut_lines.withColumn("pos", F.col("line_no")), split, SIDES, "pos", chunk), allowMissingColumns=True)
+    if lines is not None:
+        whole = (lines if split is None else lines.where(~cut)).withColumns({"pos": F.col("line_no"), "page_no": F.lit(1)})
+        parts = parts.unionByName(whole)
     parts = materialize(parts)
     separator = rule_columns.separator(rules)
     repeating = materialize(pages.repeating_lines(parts, separator, SIDES, "pos", chunk=chunk))
@@ -148,11 +157,15 @@ def parse(
 
 
 def compare(
-    docs: DataFrame, rules: Sequence[Rule] = (), options: Options = Options()
+    docs: DataFrame, rules: Sequence[Rule] = (), options: Options = Options(),
+    lines: DataFrame | None = None,
 ) -> Comparison:
     """Compare side A of ``docs`` (``side, doc_id, file_name, match_name, text``) with
-    side B.  The rules of a pair are those of its A file."""
+    side B.  The rules of a pair are those of its A file.  Documents marked ``long`` have
+    no text but ``lines`` (``side, doc_id, line_no, line``)."""
     normalize = mask_dates if options.ignore_dates else None
+    if lines is None:
+        docs = docs.drop("long")
     pairs = materialize(pair_up(docs, options))
     ready = resolve_rules(pairs.where("match_type IN ('exact', 'fuzzy') AND error IS NULL"), rules, "file_a")
     ready = ready.withColumn("rule_no", F.coalesce("rule_no", F.lit(0)))
@@ -163,7 +176,9 @@ def compare(
     texts = docs.select("side", "doc_id", "text").join(members, ["side", "doc_id"])
     texts = texts.select(*SIDES, "text")
 
-    paged, repeating = parse(texts, rules, options.ignore_lines)
+    if lines is not None:
+        lines = spread_join(lines, members, ["side", "doc_id"], "line_no", CHUNK, "inner").select(*SIDES, "line_no", "line")
+    paged, repeating = parse(texts, rules, options.ignore_lines, lines=lines)
     chunk = CHUNK
     body = paged.where("role = 'body'").drop("role")
     filled = materialize(non_blank(body))
@@ -355,12 +370,27 @@ def compare_folders(
     """Compare the report files of two folders.
 
     A file that cannot be read, or is longer than ``max_bytes``, leaves an ``error`` at its
-    pair in ``pairs`` and is counted in ``folder``; all other pairs are compared.
+    pair in ``pairs`` and is counted in ``folder``; all other pairs are compared.  With
+    ``stream_long`` over-long files are read line by line over many tasks and compared too
+    (in pages if their rule has a split pattern; they give no extract).
     """
     docs = read_reports(spark, folder_a, "A", exts, max_bytes).unionByName(
         read_reports(spark, folder_b, "B", exts, max_bytes))
+    return _compare_read(docs, {"A": folder_a, "B": folder_b}, rules, options)
+
+
+def _compare_read(docs: DataFrame, folders: dict[str, str], rules: Sequence[Rule], options: Options) -> Comparison:
     # the files are read once; whatever fails, fails here
-    return compare(materialize(docs), rules, options)
+    docs, lines = materialize(docs), None
+    if options.stream_long:
+        # as many rows as there are over-long files
+        for side, folder in folders.items():
+            names = [r["file_name"] for r in docs.where((F.col("side") == side) & F.col("long")).select("file_name").collect()]
+            if names:
+                paths = [f"{folder.rstrip('/')}/{re.sub(r'([][{}*?\\])', r'\\\1', n)}" for n in names]
+                more = read_lines(docs.sparkSession, paths, side)
+                lines = more if lines is None else lines.unionByName(more)
+    return compare(docs, rules, options, lines)
 
 
 def compare_files(
@@ -374,7 +404,8 @@ def compare_files(
     """Compare two report files, whatever their names and extensions."""
     a, b = read_file(spark, file_a, "A", max_bytes), read_file(spark, file_b, "B", max_bytes)
     docs = a.unionByName(b).withColumn("match_name", F.lit("pair"))
-    return compare(materialize(docs), rules, options)
+    folders = {"A": file_a.rsplit("/", 1)[0], "B": file_b.rsplit("/", 1)[0]}
+    return _compare_read(docs, folders, rules, options)
 
 
 def write_results(result: Comparison, path: str) -> None:

@@ -12,6 +12,7 @@ from sidematch.functions.text import unix_newlines
 from sidematch.operators.scan import SLICE
 
 DOC_KEYS = ["side", "doc_id"]
+TOO_LONG = "longer than"
 
 
 def read_reports(
@@ -23,7 +24,7 @@ def read_reports(
     When names differ in case only, the last one in file-name order is kept.  Bytes
     that are not UTF-8 become replacement characters.  A file longer than ``max_bytes``
     (by default what Spark puts into one cell), or one that fails while it is read, has
-    no text but an ``error``.
+    no text but an ``error``; the former are marked ``long``, for ``read_lines``.
     """
     wanted = [e.lower() for e in exts]
     # A glob that ignores case, so that other files are not even listed for reading.
@@ -45,9 +46,10 @@ def _files(spark: SparkSession, path: str, side: str, max_bytes: int | None, nam
     longest = max_bytes or int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
     name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name")
     text = F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    is_long = F.col("error").startswith(TOO_LONG)
     read = found.where(F.col("length") <= longest).select(name, text, F.lit(None).cast("string").alias("error"))
     over = found.where(F.col("length") > longest).select(
-        name, F.lit(None).cast("string").alias("text"), F.lit(f"longer than {longest} bytes").alias("error"))
+        name, F.lit(None).cast("string").alias("text"), F.lit(f"{TOO_LONG} {longest} bytes").alias("error"))
     # the list of files, which Spark made when it opened the folder
     listed = spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]),) for p in found.inputFiles()], "file_name string")
     failed = listed.select("file_name", F.lit(None).cast("string").alias("text"), F.lit("could not be read").alias("error"))
@@ -68,6 +70,7 @@ def _files(spark: SparkSession, path: str, side: str, max_bytes: int | None, nam
             "ext",
             "text",
             "error",
+            F.coalesce(is_long, F.lit(False)).alias("long"),
         )
     )
 
@@ -80,11 +83,12 @@ def explode_lines(docs: DataFrame, keys: Sequence[str] = DOC_KEYS, text: str = "
     )
 
 
-def read_lines(spark: SparkSession, path: str, side: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], side: str) -> DataFrame:
     """Lines of files too large for one cell: ``side, doc_id, line_no, line``.
 
     Spark splits the files; a line's number is its offset inside the split plus the
     lines of the splits before it, so nothing is sorted and no file is one task.
+    Bytes that are not UTF-8 become replacement characters.
     """
     name = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
     raw = spark.read.text(path).select(
@@ -92,7 +96,7 @@ def read_lines(spark: SparkSession, path: str, side: str) -> DataFrame:
         F.lower(F.url_decode(name)).alias("doc_id"),
         F.col("_metadata.file_block_start").alias(SLICE),
         F.monotonically_increasing_id().alias("_id"),
-        F.col("value").alias("line"),
+        F.make_valid_utf8("value").alias("line"),
     )
     splits = raw.groupBy(*DOC_KEYS, SLICE).agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")

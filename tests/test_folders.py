@@ -133,6 +133,22 @@ def test_faults_names_and_two_files(spark, tmp_path):
     assert two.summary.first().lines_added == 1
 
 
+def test_long_files_by_lines(spark, tmp_path):
+    """Files too long for a cell are compared line by line, with the same results."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    for d, amounts in ((a, [1, 2, 3]), (b, [1, 5, 3])):
+        d.mkdir()
+        (d / "ter [1].txt").write_text(ledger(3, amounts, 6))
+        (d / "tiny.txt").write_text("x")
+    rules = [Rule("(?i)^ter", r"PAGE\s+(\d+)", r"^FN\d\s(\d+)", 2)]
+    by_text = compare_folders(spark, str(a), str(b), rules, Options(transactions=True))
+    by_line = compare_folders(spark, str(a), str(b), rules, Options(transactions=True, stream_long=True), max_bytes=50)
+    assert by_line.pairs.where("error IS NOT NULL").count() == 0
+    for name in ("summary", "pages", "transactions"):
+        left, right = (sorted(map(str, getattr(x, name).collect())) for x in (by_text, by_line))
+        assert left == right and left, name
+
+
 def test_read_lines(spark, tmp_path):
     path = tmp_path / "big.log"
     path.write_text("".join(f"line {i}\n" for i in range(1, 5001)))
