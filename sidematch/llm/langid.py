@@ -2,30 +2,38 @@
 
 Interpolated Kneser-Ney over ``ORDER`` characters: the longest windows are counted over
 all training texts, everything shorter is the number of different windows that continue
-it.  A text is folded to lower-case letters and single spaces; each model is read
-through arrays sorted by hash, shared by all languages, and the language with the lowest
-cross-entropy per character wins.  Texts that fit no language as well as training
-texts fit their own are rejected.
+it.  Every window of every language is kept.  A text is folded to lower-case letters and
+single spaces, and the language with the lowest cross-entropy per character wins.  Texts
+that fit no language as well as training texts fit their own are rejected.
+
+The models are arrays sorted by hash in files of the shared folder, all languages in one.
+Windows of three and four characters are dealt into parts by the two characters before
+the last, so that a part holds all that their probabilities need; windows of one and two
+characters are in a file of their own, which every task reads.  A task holds one part at
+a time and scores a chunk of texts against one part after the other.
 """
 
 from __future__ import annotations
 
 import functools
+import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sidematch.session import materialize
-from .common import add_columns, map_batches, mix
+from .common import create_file, map_batches, mix, open_file, python_ready, shared_folder
 
 ORDER = 4
-# Longest windows kept per language, the most frequent first; the rest is read from
-# shorter ones.  It bounds what is sent to every task.
-MAX_WINDOWS = 1 << 18
-LANGUAGES = 64
+# Windows (per language) that a part of the model is made for: what a task reads at a time.
+PART_WINDOWS = 1 << 21
+# Characters scored against one part after the other, if there are several parts.
+CHUNK_CHARS = 1 << 23
 COUNT_CHARS = 1 << 22
 SCORE_CHARS = 1 << 19
 # A text is rejected if its cross-entropy is above its language's mean by half the way to
@@ -138,13 +146,6 @@ def _rows(lang, rows):
         [pa.array([lang] * len(rows[0]), pa.string()), *(pa.array(x) for x in rows[1:])], names=["lang", "hi", "lo", "n"])
 
 
-def _sorted_sums(h: np.ndarray, n: np.ndarray):
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, int)
-    return h[first], np.add.reduceat(n[order], first) if len(h) else n[:0], order[first]
-
-
 def _find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Place of each hash in the sorted array, -1 where it is not."""
     if not len(table):
@@ -153,147 +154,300 @@ def _find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, -1)
 
 
+def _hashes(columns: list[np.ndarray], rows: int) -> np.ndarray:
+    return keys(columns) if columns else np.zeros(rows, np.uint64)
+
+
+class Table:
+    """Values of (hash, language): hashes sorted, the languages of each in a row."""
+
+    def __init__(self, hashes: np.ndarray, start: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        self.hashes, self.start, self.lang, self.value = hashes, start, lang, value
+
+    @classmethod
+    def of(cls, h: np.ndarray, lang: np.ndarray, value: np.ndarray) -> Table:
+        order = np.lexsort((lang, h))
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+        return cls(h[first], np.r_[first, len(h)].astype(np.int64), lang[order].astype(np.int32), value[order].astype(np.float32))
+
+    def entries(self, h: np.ndarray):
+        """Row of ``h``, language and value of everything found."""
+        at = _find(self.hashes, h)
+        rows = np.flatnonzero(at >= 0)
+        at = at[rows]
+        n = self.start[at + 1] - self.start[at]
+        before = np.cumsum(n) - n
+        place = np.repeat(self.start[at] - before, n) + np.arange(n.sum())
+        return np.repeat(rows, n), self.lang[place], self.value[place]
+
+    def arrays(self, name: str) -> dict[str, np.ndarray]:
+        return {f"{name}_{x}": getattr(self, x) for x in ("hashes", "start", "lang", "value")}
+
+    @classmethod
+    def load(cls, arrays, name: str) -> Table:
+        return cls(*(arrays[f"{name}_{x}"] for x in ("hashes", "start", "lang", "value")))
+
+
 class Model:
-    """Log2 probabilities of windows of 1 to ``ORDER`` characters, per language."""
-
-    def __init__(self, langs: list[str], windows: list[tuple[np.ndarray, np.ndarray]]):
-        """``windows``: per language the characters (rows of ``ORDER``) and counts."""
-        self.langs = langs
-        everything = np.concatenate([w for w, _ in windows]) if windows else np.empty((0, ORDER), np.uint32)
-        self.floor = -np.log2(len(np.unique(everything[:, -1])) + 1)
-        tables = [self._counted(w, n) for w, n in windows]
-        self.hash, self.logp, self.ctx, self.back = {}, {}, {}, {}
-        for k in range(1, ORDER + 1):
-            h, _, pick = _sorted_sums(keys(list(everything[:, ORDER - k:].T)), np.zeros(len(everything)))
-            grams = everything[pick, ORDER - k:]
-            self.hash[k] = h
-            self.logp[k] = np.log2(np.stack([self._prob(t, grams) for t in tables], 1)).astype(np.float32) if langs else np.empty((0, 0), np.float32)
-            h, _, pick = _sorted_sums(keys(list(grams[:, :-1].T)), np.zeros(len(grams))) if k > 1 else (h[:0], None, pick[:0])
-            self.ctx[k] = h
-            back = [self._backoff(t, k, h) for t in tables]
-            self.back[k] = np.log2(np.stack(back, 1)).astype(np.float32) if langs else np.empty((0, 0), np.float32)
-
-    def _counted(self, windows, n):
-        """Per order: hashes, counts, discount; contexts with their sums and kinds."""
-        out, grams, counts = {}, windows, n.astype(np.float64)
-        for k in range(ORDER, 0, -1):
-            h, c, pick = _sorted_sums(keys(list(grams.T)), counts)
-            one, two = (c == 1).sum(), (c == 2).sum()
-            discount = min(0.95, max(0.1, one / max(one + 2 * two, 1)))
-            grams = grams[pick]
-            ctx = keys(list(grams[:, :-1].T)) if k > 1 else np.zeros(len(grams), np.uint64)
-            ch, total, _ = _sorted_sums(ctx, c)
-            _, kinds, _ = _sorted_sums(ctx, np.ones(len(c)))
-            out[k] = h, c, discount, ch, total, kinds
-            grams, counts = grams[:, 1:], np.ones(len(grams))
-        return out
+    """Log2 probabilities of windows of 1 to ``ORDER`` characters, per language.
 
-    def _prob(self, table, grams):
-        k = grams.shape[1]
-        if not k:
-            return np.full(len(grams), 2.0 ** self.floor)
-        lower = self._prob(table, grams[:, 1:])
-        h, c, discount, ch, total, kinds = table[k]
-        at = _find(h, keys(list(grams.T)))
-        ctx = _find(ch, keys(list(grams[:, :-1].T)) if k > 1 else np.zeros(len(grams), np.uint64))
-        if not len(total):
-            return lower
-        seen = np.where(at >= 0, c[at] - discount, 0.0)
-        return np.where(ctx >= 0, (seen + discount * kinds[ctx] * lower) / total[ctx], lower)
-
-    def _backoff(self, table, k, contexts):
-        _, _, discount, ch, total, kinds = table[k]
-        at = _find(ch, contexts)
-        return np.where(at >= 0, discount * kinds[at] / total[at], 1.0) if len(total) else np.ones(len(contexts))
-
-    def log_probs(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Rows of log2 probabilities for windows given as ``ORDER`` columns."""
-        k = len(columns)
-        if not k:
-            return np.full((1, len(self.langs)), self.floor, np.float32)
-        at = _find(self.hash[k], keys(columns))
-        out = self.logp[k][at] if len(self.hash[k]) else np.zeros((len(at), len(self.langs)), np.float32)
-        gone = np.flatnonzero(at < 0)
-        if len(gone):
-            rest = [c[gone] for c in columns]
-            short = self.log_probs(rest[1:]) if k > 1 else np.full((len(gone), len(self.langs)), self.floor - 1, np.float32)
-            if k > 1 and len(self.ctx[k]):
-                ctx = _find(self.ctx[k], keys(rest[:-1]))
-                short = short + np.where((ctx >= 0)[:, None], self.back[k][ctx], 0)
-            out[gone] = short
+    An order has the probabilities of the windows seen, and by how much everything
+    else after a context falls below the next shorter window's.
+    """
+
+    def __init__(self, languages: int, floor: float):
+        self.languages, self.floor = languages, floor
+        self.seen: dict[int, Table] = {}
+        self.fall: dict[int, Table] = {}
+
+    def add(self, columns: list[np.ndarray], lang: np.ndarray, count: np.ndarray, discounts: np.ndarray) -> None:
+        """The next order, from the different windows of each language and their counts.
+        All windows of a context have to be among them."""
+        k, rows = len(columns), len(lang)
+        h = _hashes(columns[:-1], rows)
+        order = np.lexsort((lang, h))
+        new = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (lang[order][1:] != lang[order][:-1])]) if rows else np.empty(0, np.int64)
+        of = np.empty(rows, np.int64)
+        of[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, rows]))
+        total, kinds = np.bincount(of, count, len(new)), np.bincount(of, minlength=len(new))
+        own = discounts[lang]
+        fall = discounts[lang[order][new]] * kinds / total
+        lower = np.empty(rows)
+        step = max(1, (1 << 22) // max(1, self.languages))
+        for at in range(0, rows, step):
+            cut = slice(at, at + step)
+            below = self.log_probs([c[cut] for c in columns[1:]], len(lang[cut]))
+            lower[cut] = np.exp2(below[np.arange(len(below)), lang[cut]].astype(np.float64))
+        p = (count - own) / total[of] + fall[of] * lower
+        self.fall[k] = Table.of(h[order][new], lang[order][new], np.log2(fall))
+        self.seen[k] = Table.of(_hashes(columns, rows), lang, np.log2(p))
+
+    def log_probs(self, columns: list[np.ndarray], rows: int) -> np.ndarray:
+        """``rows`` x languages: the last character of each window after those before."""
+        out = np.full((rows, self.languages), self.floor, np.float32)
+        for k in range(1, len(columns) + 1):
+            tail = columns[len(columns) - k:]
+            at, lang, value = self.fall[k].entries(_hashes(tail[:-1], rows))
+            out[at, lang] += value
+            at, lang, value = self.seen[k].entries(_hashes(tail, rows))
+            out[at, lang] = value
         return out
 
+    def save(self, path: str, orders: tuple[int, ...]) -> None:
+        arrays = {"shape": np.array([self.languages, self.floor])}
+        for k in orders:
+            arrays |= self.seen[k].arrays(f"seen{k}") | self.fall[k].arrays(f"fall{k}")
+        data = io.BytesIO()
+        np.savez(data, **arrays)
+        with create_file(path) as out:
+            out.write(data.getbuffer())
+
+    def read(self, path: str, orders: tuple[int, ...]) -> Model:
+        with open_file(path) as source, np.load(io.BytesIO(source.read())) as arrays:
+            self.languages, self.floor = int(arrays["shape"][0]), float(arrays["shape"][1])
+            for k in orders:
+                self.seen[k], self.fall[k] = Table.load(arrays, f"seen{k}"), Table.load(arrays, f"fall{k}")
+        return self
+
+
+SHORT, LONG = (1, 2), (3, 4)
+
+
+@functools.lru_cache(maxsize=1)
+def _short(path: str) -> Model:
+    return Model(0, 0.0).read(path, SHORT)
+
+
+@functools.lru_cache(maxsize=1)
+def _part(short: str, path: str) -> Model:
+    base = _short(short)
+    model = Model(base.languages, base.floor)
+    model.seen, model.fall = dict(base.seen), dict(base.fall)
+    return model.read(path, LONG)
+
+
+def part_of(c2, c1, parts: int):
+    """Part of the windows with these two characters before the last."""
+    return (c2 * 1000003 + c1) % parts
+
+
+class Models:
+    """Where the files of the models are; the languages by number."""
+
+    def __init__(self, langs: list[str], short: str, parts: list[str]):
+        self.langs, self.short, self.parts = langs, short, parts
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character (texts x languages) and characters of each text."""
         chars, owner = fold(texts)
         total, n = np.zeros((len(texts), len(self.langs))), np.bincount(owner, minlength=len(texts))
-        for at in range(0, len(chars), SCORE_CHARS):
+        step = max(1 << 12, SCORE_CHARS * 8 // max(8, len(self.langs)))
+        cuts = []
+        for at in range(0, len(chars), step):
             low = max(0, at - ORDER + 1)
-            c, o = chars[low:at + SCORE_CHARS], owner[low:at + SCORE_CHARS]
+            c, o = chars[low:at + step], owner[low:at + step]
             columns = [shifted(c, o, k)[at - low:] for k in range(ORDER - 1, -1, -1)]
-            o = o[at - low:]
-            first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-            total[o[first]] -= np.add.reduceat(self.log_probs(columns).astype(np.float64), first, axis=0)
+            # a window is looked up once, however often it is there
+            _, first, inverse = np.unique(keys(columns), return_index=True, return_inverse=True)
+            columns = [c[first] for c in columns]
+            part = part_of(columns[1].astype(np.int64), columns[2].astype(np.int64), len(self.parts))
+            cuts.append((columns, part, inverse.astype(np.int32), o[at - low:]))
+        for p, path in enumerate(self.parts):
+            model = _part(self.short, path)
+            for columns, part, inverse, o in cuts:
+                of = np.flatnonzero(part == p)
+                if not len(of):
+                    continue
+                found = np.zeros((len(part), len(self.langs)), np.float32)
+                found[of] = model.log_probs([c[of] for c in columns], len(of))
+                start = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+                total[o[start]] -= np.add.reduceat(found[inverse], start, axis=0, dtype=np.float64)
         return total / np.maximum(n, 1)[:, None], n
 
 
-def train(docs: DataFrame) -> Model:
-    """Model of the non-null ``lang`` values of ``docs`` (``lang, text``).
+def train(docs: DataFrame, part_windows: int = PART_WINDOWS) -> Models:
+    """Models of all non-null ``lang`` values of ``docs`` (``lang, text``) that have a
+    text with a letter.
 
-    At most ``MAX_WINDOWS`` rows of each of ``LANGUAGES`` languages (the largest) come to the driver.
+    Counts, shorter windows and discounts are aggregates over all windows; only the
+    languages with their discounts and the names of the files come to the driver.
     """
-    counted = materialize(count_windows(docs.where("lang IS NOT NULL AND text IS NOT NULL")))
-    langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "hi", "lo")
-    kept = counted.where(F.col("lang").isin(langs)).withColumn("_r", F.row_number().over(by_count)).where(F.col("_r") <= MAX_WINDOWS)
-    rows = kept.select("lang", "hi", "lo", "n").toPandas().sort_values(["lang", "hi", "lo"])
-    windows = []
-    for lang in sorted(langs):
-        own = rows[rows["lang"] == lang]
-        hi, lo = own["hi"].to_numpy(), own["lo"].to_numpy()
-        mask = (1 << 21) - 1
-        windows.append((np.stack([hi >> 21, hi & mask, lo >> 21, lo & mask], 1).astype(np.uint32), own["n"].to_numpy()))
-    return Model(sorted(langs), windows)
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+    spark = docs.sparkSession
+    mask = (1 << 21) - 1
+    four = materialize(count_windows(docs.where("lang IS NOT NULL AND text IS NOT NULL")))
+    c2 = F.col("hi").bitwiseAND(mask)
+    three = materialize(four.groupBy("lang", c2.alias("c2"), "lo").agg(F.count("*").alias("n")))
+    two = materialize(three.groupBy("lang", "lo").agg(F.count("*").alias("n")))
+    one = two.groupBy("lang", F.col("lo").bitwiseAND(mask).alias("lo")).agg(F.count("*").alias("n"))
+    rare = None
+    for k, table in enumerate((one, two, three, four), 1):
+        of = table.groupBy("lang").agg(
+            F.lit(k).alias("k"), F.count("*").alias("rows"),
+            F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice"))
+        rare = of if rare is None else rare.unionByName(of)
+    rare = rare.collect()
+    langs = sorted({r["lang"] for r in rare})
+    if not langs:
+        return Models([], "", [])
+    at = {lang: i for i, lang in enumerate(langs)}
+    discounts = np.zeros((ORDER + 1, len(langs)))
+    for r in rare:
+        discounts[r["k"], at[r["lang"]]] = min(0.95, max(0.1, r["once"] / max(r["once"] + 2 * r["twice"], 1)))
+    floor = -float(np.log2(one.select("lo").distinct().count() + 1))
+    folder = shared_folder(spark, "langid")
+    python_ready(spark)
+
+    def columns_of(table: pa.Table, *names: str):
+        lang = pc.index_in(table["lang"], pa.array(langs, pa.string())).to_numpy().astype(np.int64)
+        return [lang, *(table[name].to_numpy() for name in names)]
+
+    def written(model: Model, orders: tuple[int, ...], part: int) -> pa.Table:
+        # a repeated task writes a file of its own; only the one of the finished task is named
+        path = f"{folder}/{part}-{uuid.uuid4().hex}.npz"
+        model.save(path, orders)
+        return pa.table({"part": pa.array([part], pa.int32()), "path": [path]})
+
+    def write_short(table: pa.Table) -> pa.Table:
+        lang, lo, n = columns_of(table, "lo", "n")
+        c1, c0 = (lo >> 21).astype(np.uint32), (lo & mask).astype(np.uint32)
+        model = Model(len(langs), floor)
+        # a window of one character counts the different ones before it
+        last = c0.astype(np.int64) * len(langs) + lang
+        singles, kinds = np.unique(last, return_counts=True)
+        model.add([(singles // len(langs)).astype(np.uint32)], singles % len(langs), kinds.astype(np.float64), discounts[1])
+        model.add([c1, c0], lang, n.astype(np.float64), discounts[2])
+        return written(model, SHORT, 0)
+
+    short = two.groupBy().applyInArrow(write_short, "part int, path string").first()["path"]
+    windows = sum(r["rows"] for r in rare if r["k"] == ORDER)
+    parts = -(-windows // part_windows)
+
+    def write_part(table: pa.Table) -> pa.Table:
+        lang, hi, lo, n = columns_of(table, "hi", "lo", "n")
+        columns = [(x & mask).astype(np.uint32) for x in (hi >> 21, hi, lo >> 21, lo)]
+        base = _short(short)
+        model = Model(base.languages, base.floor)
+        model.seen, model.fall = dict(base.seen), dict(base.fall)
+        # different windows that end in the same three characters
+        order = np.lexsort((lang, columns[3], columns[2], columns[1]))
+        same = [x[order] for x in (*columns[1:], lang)]
+        new = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in same], axis=0)])
+        model.add([x[new] for x in same[:-1]], same[-1][new], np.diff(np.r_[new, len(order)]).astype(np.float64), discounts[3])
+        model.add(columns, lang, n.astype(np.float64), discounts[4])
+        return written(model, LONG, table["_part"][0].as_py())
+
+    dealt = four.withColumn("_part", part_of(c2, F.shiftright("lo", 21), parts))
+    files = {r["part"]: r["path"] for r in dealt.groupBy("_part").applyInArrow(write_part, "part int, path string").collect()}
+    empty = f"{folder}/none.npz"
+    if len(files) < parts:
+        none = Model(len(langs), floor)
+        for k in LONG:
+            none.seen[k] = none.fall[k] = Table.of(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0))
+        none.save(empty, LONG)
+    return Models(langs, short, [files.get(p, empty) for p in range(parts)])
+
+
+def predict(docs: DataFrame, models: Models) -> DataFrame:
     """``docs`` with ``lang_pred, score, _bits, _next, _chars``: bits per character of the
     best and the second-best language, and the number of characters.
 
     ``score`` weighs the languages by two to the power of minus four times their bits
-    per character; a text that is null or has no letter is ``und`` with score 0.
+    per character; a text that is null or has no letter is ``und`` with score 0.  With
+    several parts of the models, texts of ``CHUNK_CHARS`` characters wait for all parts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def compute(texts):
-        m = shared.value
-        best, score, bits, beside, chars = [], [], [], [], []
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and size < 4 * SCORE_CHARS:
-                size += len(texts[stop] or "")
-                stop += 1
-            if not m.langs:
-                n = np.zeros(stop - at, int)
-                e = np.zeros((stop - at, 1))
-            else:
-                e, n = m.entropies(texts[at:stop])
-            pick = e.argmin(1)
-            low = e[np.arange(len(e)), pick]
-            share = 1 / np.exp2(-4 * (e - low[:, None])).sum(1)
-            best += [m.langs[p] if k else UNKNOWN for p, k in zip(pick, n)]
-            score += np.where(n > 0, share, 0.0).tolist()
-            bits += low.tolist()
-            beside += np.sort(e, 1)[:, min(1, e.shape[1] - 1)].tolist()
-            chars += n.tolist()
-            at = stop
-        return [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()),
-                pa.array(beside, pa.float64()), pa.array(chars, pa.float64())]
+    at_text = docs.columns.index("text")
+    chunk = 4 * SCORE_CHARS if len(models.parts) < 2 else CHUNK_CHARS
+
+    def added(texts):
+        if models.langs:
+            e, n = models.entropies(texts)
+        else:
+            e, n = np.zeros((len(texts), 1)), np.zeros(len(texts), int)
+        pick = e.argmin(1)
+        low = e[np.arange(len(e)), pick]
+        share = 1 / np.exp2(-4 * (e - low[:, None])).sum(1)
+        beside = np.sort(e, 1)[:, min(1, e.shape[1] - 1)]
+        return [pa.array([models.langs[p] if k else UNKNOWN for p, k in zip(pick, n)], pa.string()),
+                pa.array(np.where(n > 0, share, 0.0)), pa.array(low), pa.array(beside), pa.array(n.astype(float))]
+
+    def run(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.utf8_length(batch.column(at_text)), 0).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < batch.num_rows:
+                # as many rows as the chunk has room for, one at least
+                room = np.searchsorted(np.cumsum(lengths[start:]), chunk - size, side="right")
+                stop = min(batch.num_rows, start + max(int(room), 0 if waiting else 1))
+                if stop > start:
+                    waiting.append(batch.slice(start, stop - start))
+                    size += int(lengths[start:stop].sum())
+                if stop < batch.num_rows:
+                    yield from scored(waiting)
+                    waiting, size = [], 0
+                start = stop
+            if len(models.parts) < 2:
+                yield from scored(waiting)
+                waiting, size = [], 0
+        yield from scored(waiting)
+
+    def scored(waiting):
+        if waiting:
+            whole = pa.Table.from_batches(waiting)
+            texts = whole.column(at_text).to_pylist()
+            if texts:
+                columns = added(texts)
+                at = 0
+                for batch in waiting:
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns, *(c.slice(at, batch.num_rows) for c in columns)],
+                        names=[*batch.schema.names, *(f.name for f in fields)])
+                    at += batch.num_rows
 
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()),
               StructField("_bits", DoubleType()), StructField("_next", DoubleType()), StructField("_chars", DoubleType())]
-    return add_columns(docs, "text", fields, compute)
+    return map_batches(docs, run, StructType([*docs.schema.fields, *fields]))
 
 
 def held_out(column: str = "doc_id"):
@@ -302,17 +456,21 @@ def held_out(column: str = "doc_id"):
 
 
 def calibrate(scored: DataFrame):
-    """Rows ``lang, mean, beside, spread, noise`` from training texts that got their own
+    """Rows ``lang_pred, mean, beside, spread, noise`` from training texts that got their own
     language: mean bits, and those of the second-best language; deviation between long
-    texts; deviation times sqrt(characters)."""
+    texts; deviation times sqrt(characters).  One aggregate from sums of powers, so that
+    no language gathers its rows."""
     own = scored.where("lang = lang_pred AND _chars > 0")
-    means = own.groupBy("lang_pred").agg(
-        (F.sum(F.col("_bits") * F.col("_chars")) / F.sum("_chars")).alias("mean"),
-        (F.sum(F.col("_next") * F.col("_chars")) / F.sum("_chars")).alias("beside"))
-    return own.join(means, "lang_pred").groupBy("lang_pred").agg(
-        F.first("mean").alias("mean"), F.first("beside").alias("beside"),
-        F.sqrt(F.sum(F.pow(F.col("_bits") - F.col("mean"), 2) * F.col("_chars")) / F.sum("_chars")).alias("spread"),
-        F.sqrt(F.avg(F.pow(F.col("_bits") - F.col("mean"), 2) * F.col("_chars"))).alias("noise"))
+    bits, chars = F.col("_bits"), F.col("_chars")
+    sums = own.groupBy("lang_pred").agg(
+        F.count("*").alias("n"), F.sum(chars).alias("c"), F.sum(bits * chars).alias("bc"),
+        F.sum(bits * bits * chars).alias("bbc"), F.sum(F.col("_next") * chars).alias("nc"))
+    mean = F.col("bc") / F.col("c")
+    # the sum of (bits - mean)^2 times characters
+    off = F.greatest(F.col("bbc") - mean * F.col("bc"), F.lit(0.0))
+    return sums.select(
+        "lang_pred", mean.alias("mean"), (F.col("nc") / F.col("c")).alias("beside"),
+        F.sqrt(off / F.col("c")).alias("spread"), F.sqrt(off / F.col("n")).alias("noise"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -327,12 +485,14 @@ def identify(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "lang", "text")
     model = train(docs.where(~held_out()))
     scored = materialize(predict(docs, model).drop("text").withColumn("held_out", held_out()))
-    limits = calibrate(scored.where("NOT held_out"))
+    limits = materialize(calibrate(scored.where("NOT held_out")))
     return _with_verdict(scored, limits).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def _with_verdict(scored: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.select(F.col("lang_pred").alias("_lang"), "mean", "beside", "spread", "noise")
+    # one row per learned language; their names are in the driver already
+    limits = F.broadcast(limits)
     limit = F.col("mean") + F.greatest(REJECT_DEVIATIONS * F.col("spread"), (F.col("beside") - F.col("mean")) / 2) + (
         REJECT_DEVIATIONS * F.col("noise") / F.sqrt(F.greatest("_chars", F.lit(1.0))))
     return scored.join(limits, scored["lang_pred"] == limits["_lang"], "left").withColumn(
@@ -345,7 +505,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", "lang", "text")
     model = train(plain.where(~held_out()))
     scored = predict(plain.where(~held_out()), model).drop("text")
-    limits = materialize(calibrate(materialize(scored.select("lang", "lang_pred", "_bits", "_next", "_chars"))))
+    limits = materialize(calibrate(scored.select("lang", "lang_pred", "_bits", "_next", "_chars")))
     columns = docs.columns
     added = ["lang_pred", "score", "_bits", "_next", "_chars"]
     renamed = docs.toDF(*(f"_c{i}" if c != "text" else c for i, c in enumerate(columns)))
