@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sidematch.functions import dates, text
 from sidematch.operators import pairing, stats
+from sidematch.plans import compare
 from sidematch.sources.keyed import parse_keyed_rows
 from sidematch.sources.reports import slice_width
 
@@ -68,3 +69,15 @@ def test_strip_takes_every_space(spark):
     row = spark.createDataFrame([(value,)], "v string").select(
         text.strip(F.col("v")) == F.regexp_replace("v", rf"^{text.SPACE}+|{text.SPACE}+\z", "")).first()
     assert row[0]
+
+
+def test_pairs_are_aligned_when_asked(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(s, "1", "r.txt", "r.txt", "PAGE 1\nx\ny" + extra) for s, extra in (("A", ""), ("B", "\nz"))],
+        "side string, doc_id string, file_name string, match_name string, text string")
+    calls, real = [], compare.align.align_lines
+    monkeypatch.setattr(compare.align, "align_lines", lambda *a, **k: calls.append(1) or real(*a, **k))
+    result = compare.compare(docs)
+    assert result.summary.count() == 1 and not calls
+    assert result.diff_rows.where("text = 'z'").count() == 1 and result.unified_diff.count() > 0
+    assert len(calls) == 1
