@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sidematch.functions.dates import mask_dates
 from sidematch.functions.keys import key_parts, sort_value
 from sidematch.operators import align, pairing, stats
-from sidematch.operators.fuzzy import fuzzy_pairs
+from sidematch.operators.fuzzy import fuzzy_pairs, similar_names
 from sidematch.operators.titles import match_titles
 
 WORDS = ["page", "total", "cash", "card", "fees", "the", "of", "net", "12", "7"]
@@ -52,6 +52,14 @@ def test_fuzzy_pairs(spark, least):
     assert [(r.name_b, r.ratio) for r in fuzzy_pairs(*one).collect()] == [("report_v2.txt", 0.9231)]
 
 
+def test_substrings_of_names_stay_out_of_the_driver(spark):
+    """Few names have many substrings: whatever size Spark expects, no join sends them to all tasks."""
+    names = [spark.range(50).selectExpr(f"concat('{side}_', md5(cast(id AS string)), '.txt') AS name") for side in "ab"]
+    pairs = similar_names(*names, 0.8)
+    assert pairs.count() > 0
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def tokens(title, stops=("the", "of")):
     words = [w for w in title.split() if len(w) > 1]
     return sorted({w for w in words if w not in stops} or set(words) or {title})
