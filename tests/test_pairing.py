@@ -10,6 +10,8 @@ from sidematch.functions.dates import mask_dates
 from sidematch.functions.keys import key_parts, sort_value
 from sidematch.operators import align, pairing, stats
 from sidematch.operators.fuzzy import fuzzy_pairs, similar_names
+from sidematch.functions import text
+from sidematch.operators import titles
 from sidematch.operators.titles import match_titles
 
 WORDS = ["page", "total", "cash", "card", "fees", "the", "of", "net", "12", "7"]
@@ -213,3 +215,29 @@ def test_null_keys_pair_in_two_shuffles(spark):
                    ("None", 3, "far", "None", "removed"), ("k", 1, "z", "z", "matched")]
     plan = pairing.pair_rows(a, b, ["key"], "pos", chunk=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_few_long_titles_are_paired_without_letters(spark, monkeypatch):
+    """Groups of few titles go without the prefix filter, long titles without JVM distances,
+    and both ways give the same pairs."""
+    rng = random.Random(9)
+    a, b = [], []
+    for g in range(6):
+        for k in range(5):
+            t = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 160)))
+            a.append((g, k, t))
+            b.append((g, k, "".join(rng.choice("xyz") if rng.random() < 0.08 * k else c for c in t)))
+    sides = [spark.createDataFrame(rows, "g int, ordinal int, title string") for rows in (a, b)]
+    found = []
+    for few, long in ((titles.FEW, titles.LONG), (0, 1000)):
+        monkeypatch.setattr(titles, "FEW", few)
+        monkeypatch.setattr(titles, "LONG", long)
+        found.append(sorted(map(repr, match_titles(*sides, ["g"]).collect())))
+    assert found[0] == found[1] and any("matched" in x for x in found[0])
+    monkeypatch.undo()
+    monkeypatch.setattr(titles, "_alike", None)
+    assert sorted(map(repr, match_titles(*sides, ["g"]).collect())) == found[0]
+    for _ in range(300):
+        x, y = ("".join(rng.choice("abé") for _ in range(rng.randint(0, 12))) for _ in "ab")
+        d, most = distance(x, y), rng.randint(0, 12)
+        assert text.distance(x, y) == d and text.distance(x, y, most) == (d if d <= most else None)
