@@ -168,3 +168,15 @@ def test_filters(spark):
     kept = pages.non_blank(pages.drop_matching(lines, ["^drop", r"\d"]))
     assert [r.line for r in kept.collect()] == ["keep"]
     assert lines.where(F.col("line") == "keep").count() == 1
+
+
+@pytest.mark.parametrize("chunk", CHUNKS)
+def test_sections_among_other_lines(spark, chunk):
+    """Headers between body lines open no section, so roles and sections are written together."""
+    lines = ["x", "PAGE 1", "a", "PAGE 7", "b", "PAGE 2", "c", "", "PAGE 3", "d"]
+    rows = [(s, 1, i + 1, x, "header" if x == "PAGE 7" or s == "B" and i < 3 else "body") for s in "AB" for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "side string, doc_id long, line_no long, line string, role string")
+    body = F.col("role") == "body"
+    want = pages.page_sections(df.where(body), chunk=chunk)
+    got = pages.page_sections(df, chunk=chunk, among=body).where(body)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
