@@ -6,15 +6,18 @@ scaled to the size of the target, so that the losses of a token differ only by w
 two corpora say about it.  A document's score is the mean difference of its tokens'
 losses: the lower, the more it is like the target.
 
-The models hold every word and every pair of neighbouring words.  They stay in tables:
-the pairs of a document meet their losses in a join.  Only the most frequent pairs are
-sent to tasks, so that a pair that is everywhere is not shuffled; they have the same
-losses there.
+The models hold every word and every pair of neighbouring words.  Documents are taken in
+stretches, which are stored as numbers.  A stretch sends each of its different pairs and
+words once, packed by parts of all names; a part adds up what it gets and answers every
+stretch with the counts of the whole corpus, in the order in which the names came.  So a
+pair that is everywhere costs one entry per stretch, and no pair moves with a document.
 """
 
 from __future__ import annotations
 
+import zlib
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,134 +28,228 @@ from pyspark.sql import functions as F
 from sidematch.session import materialize
 from .common import map_batches
 
-# The most frequent pairs and words are sent to every task (24 and 40 bytes each), the others
-# are joined; the losses are the same.
-NEAR_PAIRS = 1 << 19
-NEAR_WORDS = 1 << 14
+# A stretch is closed when it has more pairs or more different words than this.
+NEAR_PAIRS = 1 << 21
+NEAR_WORDS = 1 << 20
+# Words of all stretches for each part of the names.
+PART_WORDS = 1 << 22
 # Target ids are sent to every task up to this number (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 SMOOTHING = 4.0
 PRIOR = 0.5
-COUNT_TOKENS = 1 << 22
-# Names of words that a task remembers.
-NAMES = 1 << 19
-# Rows of a task's documents, counted from the task's number times this.
-TASK_ROWS = 1 << 36
+# Characters of texts that are split into words at once.
+SPLIT_CHARS = 1 << 22
+
+# What is sent and answered: pairs, with n and target, and words, with those and the same as the word before.
+PAIRS, WORDS = 0, 1
+COUNTS = {PAIRS: 2, WORDS: 4}
+STRETCHES = "stretch long, doc_ids array<long>, sizes binary, target binary, n_names long, names binary, n_words long, places binary"
+SENT = "key long, kind int, part long, stretch long, n long, names binary, counts binary"
+ANSWERS = "kind int, part long, stretch long, n long, counts binary, size long, total long, aimed long"
+LOSSES = "doc_id long, n_tokens long, target double, background double"
+_U = np.uint64
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class Names(dict):
-    """64-bit names of words."""
+class Places(dict):
+    """Numbers of different words, in the order in which they come."""
 
     def __missing__(self, word: bytes) -> int:
-        name = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-        if len(self) < NAMES:
-            self[word] = name
-        return name
+        self[word] = place = len(self)
+        return place
 
 
 # no word has white space
-START = Names()[b" "]
+START = b" "
+
+
+def name_of(word: bytes) -> int:
+    """The 64-bit name of a word."""
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+
+
+def pack(x: np.ndarray, squeeze: bool = True) -> bytes:
+    """Numbers byte by byte: all lowest ones first; bytes that none has are left out."""
+    width = -(-int(x.max()).bit_length() // 8) or 1 if x.size else 0
+    planes = np.ascontiguousarray(x, _U).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return zlib.compress(planes, 1) if squeeze else planes
 
 
-def named(texts: list[str | None], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of all pairs, of the word before in each, and the number of words of each text.
-    The first word of a text stands behind a mark of its own.  A pair's name is the name
-    before, crossed with the word's, which is turned by one bit."""
-    words = [words_of(t) for t in texts]
-    n = np.array([len(x) for x in words], np.int64)
-    flat = np.fromiter((names[w] for x in words for w in x), np.int64, int(n.sum()))
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    starts = np.cumsum(n) - n
-    before[starts[n > 0]] = START
-    bits = flat.view(np.uint64)
-    turned = (bits << np.uint64(1)) | (bits >> np.uint64(63))
-    return before ^ turned.view(np.int64), before, n
+def unpack(data: bytes, n: int, squeezed: bool = True) -> np.ndarray:
+    data = zlib.decompress(data) if squeezed else data
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.view(_U).ravel()
 
 
-def word_of(pair, before):
-    """The name of a pair's second word."""
-    turned = pair.bitwiseXOR(before)
-    return F.shiftrightunsigned(turned, 1).bitwiseOR(F.shiftleft(turned, 63))
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """``pair, before, n, target`` over all texts (``text, target``), added up within tasks first."""
+def _rows(batches):
+    """Rows of batches, one at a time: some are large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def stretches(docs: DataFrame) -> DataFrame:
+    """Texts (``doc_id, text, target``) as numbers of words, many documents in a row.  The
+    first name is that of the mark behind which the first word of a text stands."""
     def run(batches):
-        names, held, size = Names(), [], 0
+        stretch = TaskContext.get().partitionId() << 24
+        places, ids, sizes, targets, held, size = Places({START: 0}), [], [], [], [], 0
 
-        def rows():
-            pair, before, aim = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((before, pair))
-            pair, before = pair[order], before[order]
-            first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (before[1:] != before[:-1])])
-            n = np.diff(np.r_[first, len(pair)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(pair[first]), pa.array(before[first]), pa.array(n), pa.array(np.add.reduceat(aim[order].astype(np.int64), first))],
-                names=["pair", "before", "n", "target"])
+        def row():
+            names = np.fromiter(map(name_of, places), _U, len(places))
+            return _record([(
+                stretch, ids, pack(np.array(sizes, _U)), pack(np.array(targets, _U)), len(names), names.tobytes(),
+                size, pack(np.concatenate(held)))], STRETCHES)
 
         for batch in batches:
-            pair, before, n = named(batch.column(0).to_pylist(), names)
-            held.append((pair, before, np.repeat(np.array(batch.column(1).to_pylist(), bool), n)))
-            size += len(pair)
-            if size > COUNT_TOKENS:
-                yield rows()
-                held, size = [], 0
-        if size:
-            yield rows()
-
-    return map_batches(docs.select("text", "target"), run, "pair long, before long, n long, target long").groupBy("pair", "before").agg(
-        F.sum("n").alias("n"), F.sum("target").alias("target"))
-
-
-def least_frequent(counts: DataFrame, limit: int) -> int | None:
-    """The smallest ``n`` of the rows of ``counts`` with the largest ones, ``limit`` rows at
-    most: rows of equal ``n`` are all in or all out.  None if there are none."""
-    often = counts.groupBy("n").agg(F.count("*").alias("k")).selectExpr("n", "sum(k) OVER (ORDER BY n DESC) AS upto")
-    return often.where(F.col("upto") <= limit).agg(F.min("n")).first()[0]
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, int | None]:
-    """``pair, n, loss_target, loss_background`` of every pair in ``docs`` (``text, target``),
-    and the smallest ``n`` of the pairs to be sent to tasks."""
-    pairs = materialize(count_pairs(docs))
-    named_pairs = pairs.withColumn("word", word_of(F.col("pair"), F.col("before")))
-    # a name once as a word and once as the word before
-    sides = [
-        named_pairs.groupBy(F.col(key).alias("name")).agg(
-            *(F.sum(c).alias(a) if key == k else F.lit(0).cast("long").alias(a)
-              for k, c, a in (("word", "n", "n"), ("word", "target", "target"), ("before", "n", "after_n"), ("before", "target", "after_target"))))
-        for key in ("word", "before")]
-    words = materialize(sides[0].union(sides[1]).groupBy("name").agg(
-        *(F.sum(c).alias(c) for c in ("n", "target", "after_n", "after_target"))))
-    size, total, aimed = words.agg(F.count_if(F.col("n") > 0), F.sum("n"), F.sum("target")).first()
-    scale = (aimed or 0) / (total or 1)
-    least = least_frequent(words, NEAR_WORDS)
-    near = words.where(F.lit(False) if least is None else F.col("n") >= least)
-
-    def look_up(rows, key, **columns):
-        """``rows`` with columns of the word named by ``key``; frequent words are not shuffled."""
-        def of(table):
-            return table.select(F.col("name").alias(key), *(F.col(c).alias(a) for a, c in columns.items()))
-
-        others = rows.join(F.broadcast(of(near).select(key)), key, "left_anti")
-        return rows.join(F.broadcast(of(near)), key).unionByName(others.join(of(words), key))
-
-    known = look_up(named_pairs, "word", word_n="n", word_target="target")
-    known = look_up(known, "before", after_n="after_n", after_target="after_target")
+            texts = batch.column(1).to_pylist()
+            chars = np.cumsum([len(t or "") for t in texts]) // SPLIT_CHARS
+            edges = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1], True])
+            for i, j in zip(edges[:-1], edges[1:]):
+                words = [words_of(t) for t in texts[i:j]]
+                sizes += map(len, words)
+                n = sum(sizes[len(sizes) - len(words):])
+                held.append(np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.uint32, n))
+                size += n
+                ids += batch.column(0)[i:j].cast(pa.int64()).to_pylist()
+                targets += batch.column(2)[i:j].to_pylist()
+                if size > NEAR_PAIRS or len(places) > NEAR_WORDS:
+                    yield row()
+                    stretch += 1
+                    places, ids, sizes, targets, held, size = Places({START: 0}), [], [], [], [], 0
+        if ids:
+            yield row()
+
+    return materialize(map_batches(docs.select("doc_id", "text", "target"), run, STRETCHES))
+
+
+class Stretch:
+    """Pairs of a stored stretch.  ``order`` sorts its words by the names of their pairs,
+    ``first`` are the places there where another pair begins; ``names`` are those of its
+    words, sorted, ``word`` and ``before`` the numbers of each word and of the one before.
+    A pair's name is the name before, crossed with the word's, which is turned by one bit."""
+
+    def __init__(self, row: dict):
+        self.sizes = unpack(row["sizes"], len(row["doc_ids"])).astype(np.int64)
+        self.target = unpack(row["target"], len(row["doc_ids"])) > 0
+        self.names, of = np.unique(np.frombuffer(row["names"], _U), return_inverse=True)
+        of = of.astype(np.int32)
+        self.word = of[unpack(row["places"], row["n_words"])]
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = of[0]
+        turned = (self.names << _U(1)) | (self.names >> _U(63))
+        pair = self.names[self.before] ^ turned[self.word]
+        self.order = np.argsort(pair)
+        pair = pair[self.order]
+        self.first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, np.int64)
+        self.pairs = pair[self.first]
+        self.times = np.diff(np.r_[self.first, len(pair)])
+
+
+def counted(stored: DataFrame, parts: int) -> DataFrame:
+    """For every stretch and part the counts of the stretch's pairs and words in all
+    stretches, in the order of their names; and once for every part how many words there
+    are, how often, and how often in target documents."""
+    def send(batches):
+        for row in _rows(batches):
+            own = Stretch(row)
+            aim = np.repeat(own.target, own.sizes)
+            n_aimed = np.add.reduceat(aim[own.order].astype(np.int64), own.first) if len(own.first) else own.first
+            words = [np.bincount(x, minlength=len(own.names)) for x in (own.word, own.word[aim], own.before, own.before[aim])]
+            out = []
+            for kind, names, counts in ((PAIRS, own.pairs, [own.times, n_aimed]), (WORDS, own.names, words)):
+                part = ((names >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+                edges = np.searchsorted(part, np.arange(parts + 1))
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    i, j = edges[k], edges[k + 1]
+                    out.append((
+                        k * 2 + kind, kind, k, row["stretch"], int(j - i), pack(np.diff(names[i:j], prepend=_U(0)), False),
+                        pack(np.concatenate([c[i:j] for c in counts]))))
+            yield _record(out, SENT)
+
+    def add_up(batches):
+        key, held = None, []
+
+        def answers():
+            kind, part = held[0]["kind"], held[0]["part"]
+            names = np.concatenate([np.cumsum(unpack(r["names"], r["n"], False), dtype=_U) for r in held])
+            counts = np.concatenate([unpack(r["counts"], r["n"] * COUNTS[kind]).reshape(-1, r["n"]) for r in held], axis=1)
+            different, at = np.unique(names, return_inverse=True)
+            sums = np.array([np.bincount(at, c, len(different)) for c in counts], np.int64)
+            ends = np.cumsum([r["n"] for r in held])
+            out = [(kind, part, r["stretch"], r["n"], pack(sums[:, at[j - r["n"]:j]].ravel()), 0, 0, 0) for r, j in zip(held, ends)]
+            if kind == WORDS:
+                out.append((None, part, None, 0, None, int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())))
+            return _record(out, ANSWERS)
+
+        for row in _rows(batches):
+            if held and row["key"] != key:
+                yield answers()
+                held = []
+            key = row["key"]
+            held.append(row)
+        if held:
+            yield answers()
+
+    tasks = max(parts, stored.sparkSession.sparkContext.defaultParallelism)
+    dealt = map_batches(stored, send, SENT).repartition(tasks, "key").sortWithinPartitions("key")
+    return materialize(map_batches(dealt, add_up, ANSWERS))
+
+
+def losses(stored: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """``doc_id, n_tokens, target, background`` of every document: summed losses."""
+    size, total, aimed = (x or 0 for x in answers.agg(F.sum("size"), F.sum("total"), F.sum("aimed")).first())
+    scale = aimed / (total or 1)
 
     def loss(seen, word, after, scale):
-        share = (F.col(word) * scale + PRIOR) / (float(aimed or 0) + PRIOR * size)
-        return -F.log2((F.col(seen) * scale + SMOOTHING * share) / (F.col(after) * scale + SMOOTHING))
+        share = (word * scale + PRIOR) / (aimed + PRIOR * size)
+        return -np.log2((seen * scale + SMOOTHING * share) / (after * scale + SMOOTHING))
+
+    def run(batches):
+        now, got = None, None
+
+        def rows():
+            own = Stretch(now)
+            owner = np.repeat(np.arange(len(own.sizes)), own.sizes)[own.order]
+            sums = [np.zeros(len(own.sizes))] * 2
+            if len(own.first):
+                n, aim = np.concatenate(got[PAIRS], axis=1)
+                word_n, word_aim, after_n, after_aim = np.concatenate(got[WORDS], axis=1)
+                word, before = own.word[own.order[own.first]], own.before[own.order[own.first]]
+                both = loss(aim, word_aim[word], after_aim[before], 1.0), loss(n, word_n[word], after_n[before], scale)
+                sums = [np.bincount(owner, np.repeat(x, own.times), len(own.sizes)) for x in both]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(now["doc_ids"], pa.int64()), pa.array(own.sizes), pa.array(sums[0]), pa.array(sums[1])],
+                names=["doc_id", "n_tokens", "target", "background"])
+
+        for row in _rows(batches):
+            if row["kind"] is None:
+                if now:
+                    yield rows()
+                now, got = row, {PAIRS: [], WORDS: []}
+            else:
+                kind, n = row["kind"], row["n"]
+                got[kind].append(unpack(row["counts"], n * COUNTS[kind]).reshape(-1, n).astype(np.float64))
+        if now:
+            yield rows()
 
-    priced = known.select(
-        "pair", "n", loss("target", "word_target", "after_target", 1.0).alias("loss_target"),
-        loss("n", "word_n", "after_n", scale).alias("loss_background"))
-    return priced, least_frequent(pairs, NEAR_PAIRS)
+    # a stretch, then its answers
+    dealt = stored.unionByName(answers.where("stretch IS NOT NULL").drop("size", "total", "aimed"), allowMissingColumns=True).repartition(
+        tasks, "stretch").sortWithinPartitions("stretch", F.asc_nulls_first("kind"), "part")
+    return map_batches(dealt, run, LOSSES)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -164,61 +261,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents both models fall back to equal odds; an empty table gives none.  Words and
     pairs are named by 64 bits.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     good = materialize(good)
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
-    marked = docs.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    priced, least = train(marked)
-    is_near = F.lit(False) if least is None else F.col("n") >= least
-    near = priced.where(is_near).select("pair", "loss_target", "loss_background").toArrow()
-    order = np.argsort(near["pair"].to_numpy())
-    shared = spark.sparkContext.broadcast(
-        (near["pair"].to_numpy()[order], np.stack([near["loss_target"].to_numpy(), near["loss_background"].to_numpy()])[:, order]))
-
-    def run(batches):
-        keys, losses = shared.value
-        names, row = Names(), TaskContext.get().partitionId() * TASK_ROWS
-        fields = ["row", "pair", "k", "doc_id", "n_tokens", "near_target", "near_background"]
-        for batch in batches:
-            pair, _, n = named(batch.column(1).to_pylist(), names)
-            sums = np.zeros((2, len(n)))
-            owner = np.repeat(np.arange(len(n)), n)
-            for start in range(0, len(pair), COUNT_TOKENS // 4):
-                part, of = pair[start:start + COUNT_TOKENS // 4], owner[start:start + COUNT_TOKENS // 4]
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                    hit = keys[at] == part
-                    for i in range(2):
-                        sums[i] += np.bincount(of[hit], losses[i, at[hit]], len(n))
-                    part, of = part[~hit], of[~hit]
-                if not len(part):
-                    continue
-                order = np.lexsort((part, of))
-                part, of = part[order], of[order]
-                first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (of[1:] != of[:-1])])
-                none = pa.nulls(len(first), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + of[first]), pa.array(part[first]), pa.array(np.diff(np.r_[first, len(part)])), none, none,
-                     pa.nulls(len(first), pa.float64()), pa.nulls(len(first), pa.float64())], names=fields)
-            # one row for the document itself; its own number stands for a pair, so that such rows spread
-            mine = pa.array(row + np.arange(len(n)))
-            yield pa.RecordBatch.from_arrays(
-                [mine, mine, pa.array(np.zeros(len(n), np.int64)), batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sums[0]), pa.array(sums[1])],
-                names=fields)
-            row += len(n)
-
-    rows = map_batches(
-        docs, run, "row long, pair long, k long, doc_id long, n_tokens long, near_target double, near_background double")
-    far = priced.where(~is_near).select("pair", "loss_target", "loss_background")
-
-    def total(side):
-        known = F.when(F.col("k") > 0, F.col("k") * F.col(f"loss_{side}"))
-        return F.sum(F.coalesce(f"near_{side}", known, F.lit(0.0))).alias(side)
-
-    out = rows.join(far, "pair", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), total("target"), total("background"))
+    stored = stretches(docs.join(good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False))))
+    words, rows = stored.agg(F.sum("n_words"), F.count("*")).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    answers = counted(stored, max(8 * cores, (words or 0) // PART_WORDS))
+    out = losses(stored, answers, max(cores, rows))
     mean = {side: F.when(F.col("n_tokens") > 0, F.col(side) / F.col("n_tokens")) for side in ("target", "background")}
     return out.select(
         "doc_id", "n_tokens", mean["target"].alias("loss_target"), mean["background"].alias("loss_background"),

@@ -1,8 +1,13 @@
 """Nothing is left out, however much there is of it."""
 
 import math
+import os
+import random
+import threading
 from collections import Counter
 
+import numpy as np
+
 from sidematch.llm import decontam, license, lm_score
 
 
@@ -81,3 +86,44 @@ def test_usual_licence_wordings_are_found(spark):
     rows = [(i, f"d/{i}.txt", text + code) for i, text in enumerate(texts.values())] + [(9, "e/9.txt", code)]
     got = {r.file_id: r.license for r in license.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
     assert got == {**dict(enumerate(texts)), 9: None}
+
+
+def disk_bytes(spark, stop, peak):
+    """The most bytes of intermediate tables and shuffles that lay on disk at once until ``stop``."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [spark.conf.get("spark.checkpoint.dir"), *(f.getPath() for f in local)]
+
+    def size(path):
+        try:
+            return os.path.getsize(path)
+        except OSError:  # a file may go meanwhile
+            return 0
+
+    while not stop.is_set():
+        peak.append(sum(size(os.path.join(d, f)) for top in folders for d, _, names in os.walk(top) for f in names))
+        stop.wait(0.05)
+
+
+def test_pairs_take_a_few_bytes_of_disk(spark, monkeypatch):
+    # 400 texts of 500 words each, nearly all pairs different and beyond what is near
+    monkeypatch.setattr(lm_score, "NEAR_PAIRS", 1000)
+    draw = random.Random(1)
+    texts = [(i, " ".join(f"w{draw.randrange(3000)}" for _ in range(500))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 400, 7)], "doc_id long, quality int")
+    stop, peak = threading.Event(), []
+    watch = threading.Thread(target=disk_bytes, args=(spark, stop, peak))
+    watch.start()
+    try:
+        lm_score.score(docs, labels).write.format("noop").mode("overwrite").save()
+    finally:
+        stop.set()
+        watch.join()
+    assert max(peak) - peak[0] < 25 * 400 * 500
+
+
+def test_numbers_are_unpacked_as_packed():
+    for x in ([], [0], [0, 1, 255], [1 << 63, 3, (1 << 64) - 1], [7] * 1000):
+        x = np.array(x, np.uint64)
+        for squeeze in (True, False):
+            assert (lm_score.unpack(lm_score.pack(x, squeeze), len(x), squeeze) == x).all()
