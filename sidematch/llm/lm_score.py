@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from sidematch.session import materialize
 from .common import map_batches
 
-# A stretch is closed when it has more pairs or more different words than this.
+# A stretch is closed when it has more pairs than this, or more different words or documents.
 NEAR_PAIRS = 1 << 21
 NEAR_WORDS = 1 << 20
 # Words of all stretches for each part of the names.
 PART_WORDS = 1 << 22
 # Target ids are sent to every task up to this number (8 bytes each), beyond it they are joined.
 BROADCAST_IDS = 1 << 20
+# So are the places of target documents in stretches, up to this number of documents (4 bytes each).
+BROADCAST_PLACES = 1 << 24
 SMOOTHING = 4.0
 PRIOR = 0.5
 # Characters of texts that are split into words at once.
@@ -43,7 +45,7 @@ SPLIT_CHARS = 1 << 22
 # What is sent and answered: pairs, with n and target, and words, with those and the same as the word before.
 PAIRS, WORDS = 0, 1
 COUNTS = {PAIRS: 2, WORDS: 4}
-STRETCHES = "stretch long, doc_ids array<long>, sizes binary, target binary, n_names long, names binary, n_words long, places binary"
+STRETCHES = "stretch long, doc_ids array<long>, sizes binary, n_names long, names binary, n_words long, places binary"
 SENT = "key long, kind int, part long, stretch long, n long, names binary, counts binary"
 ANSWERS = "kind int, part long, stretch long, n long, counts binary, size long, total long, aimed long"
 LOSSES = "doc_id long, n_tokens long, target double, background double"
@@ -101,17 +103,16 @@ def _rows(batches):
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """Texts (``doc_id, text, target``) as numbers of words, many documents in a row.  The
+    """Texts (``doc_id, text``) as numbers of words, many documents in a row.  The
     first name is that of the mark behind which the first word of a text stands."""
     def run(batches):
         stretch = TaskContext.get().partitionId() << 24
-        places, ids, sizes, targets, held, size = Places({START: 0}), [], [], [], [], 0
+        places, ids, sizes, held, size = Places({START: 0}), [], [], [], 0
 
         def row():
             names = np.fromiter(map(name_of, places), _U, len(places))
             return _record([(
-                stretch, ids, pack(np.array(sizes, _U)), pack(np.array(targets, _U)), len(names), names.tobytes(),
-                size, pack(np.concatenate(held)))], STRETCHES)
+                stretch, ids, pack(np.array(sizes, _U)), len(names), names.tobytes(), size, pack(np.concatenate(held)))], STRETCHES)
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -124,15 +125,14 @@ def stretches(docs: DataFrame) -> DataFrame:
                 held.append(np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.uint32, n))
                 size += n
                 ids += batch.column(0)[i:j].cast(pa.int64()).to_pylist()
-                targets += batch.column(2)[i:j].to_pylist()
-                if size > NEAR_PAIRS or len(places) > NEAR_WORDS:
+                if size > NEAR_PAIRS or max(len(places), len(ids)) > NEAR_WORDS:
                     yield row()
                     stretch += 1
-                    places, ids, sizes, targets, held, size = Places({START: 0}), [], [], [], [], 0
+                    places, ids, sizes, held, size = Places({START: 0}), [], [], [], 0
         if ids:
             yield row()
 
-    return materialize(map_batches(docs.select("doc_id", "text", "target"), run, STRETCHES))
+    return materialize(map_batches(docs.select("doc_id", "text"), run, STRETCHES))
 
 
 class Stretch:
@@ -143,7 +143,6 @@ class Stretch:
 
     def __init__(self, row: dict):
         self.sizes = unpack(row["sizes"], len(row["doc_ids"])).astype(np.int64)
-        self.target = unpack(row["target"], len(row["doc_ids"])) > 0
         self.names, of = np.unique(np.frombuffer(row["names"], _U), return_inverse=True)
         of = of.astype(np.int32)
         self.word = of[unpack(row["places"], row["n_words"])]
@@ -159,6 +158,13 @@ class Stretch:
         self.times = np.diff(np.r_[self.first, len(pair)])
 
 
+def targets(stored: DataFrame, good: DataFrame) -> DataFrame:
+    """``stretch, target``: the places of documents of ``good`` (``doc_id``) in each stretch
+    that has any.  Only ids move for it, no texts."""
+    places = stored.select("stretch", F.posexplode("doc_ids").alias("place", "doc_id"))
+    return places.join(good, "doc_id", "left_semi").groupBy("stretch").agg(F.collect_list("place").alias("target"))
+
+
 def counted(stored: DataFrame, parts: int) -> DataFrame:
     """For every stretch and part the counts of the stretch's pairs and words in all
     stretches, in the order of their names; and once for every part how many words there
@@ -166,7 +172,9 @@ def counted(stored: DataFrame, parts: int) -> DataFrame:
     def send(batches):
         for row in _rows(batches):
             own = Stretch(row)
-            aim = np.repeat(own.target, own.sizes)
+            aim = np.zeros(len(own.sizes), bool)
+            aim[row["target"] or []] = True
+            aim = np.repeat(aim, own.sizes)
             n_aimed = np.add.reduceat(aim[own.order].astype(np.int64), own.first) if len(own.first) else own.first
             words = [np.bincount(x, minlength=len(own.names)) for x in (own.word, own.word[aim], own.before, own.before[aim])]
             out = []
@@ -261,14 +269,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents both models fall back to equal odds; an empty table gives none.  Words and
     pairs are named by 64 bits.
     """
-    docs = docs.select("doc_id", "text")
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    good = materialize(good)
+    good = materialize(labels.where("quality = 1").select("doc_id").distinct())
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
-    stored = stretches(docs.join(good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False))))
-    words, rows = stored.agg(F.sum("n_words"), F.count("*")).first()
+    stored = stretches(docs)
+    words, rows, documents = (x or 0 for x in stored.agg(F.sum("n_words"), F.count("*"), F.sum(F.size("doc_ids"))).first())
+    aims = targets(stored, good)
+    aims = F.broadcast(aims) if documents <= BROADCAST_PLACES else aims
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    answers = counted(stored, max(8 * cores, (words or 0) // PART_WORDS))
+    answers = counted(stored.join(aims, "stretch", "left"), max(8 * cores, words // PART_WORDS))
     out = losses(stored, answers, max(cores, rows))
     mean = {side: F.when(F.col("n_tokens") > 0, F.col(side) / F.col("n_tokens")) for side in ("target", "background")}
     return out.select(

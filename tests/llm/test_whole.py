@@ -7,6 +7,7 @@ import threading
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from sidematch.llm import decontam, license, lm_score
 
@@ -122,6 +123,36 @@ def test_pairs_take_a_few_bytes_of_disk(spark, monkeypatch):
     assert max(peak) - peak[0] < 25 * 400 * 500
 
 
+@pytest.mark.parametrize("documents", [1 << 24, 0])
+def test_texts_do_not_move_for_target_ids(spark, monkeypatch, documents):
+    # 60 texts of 10,000 words each, made of 30 long words, and more target ids than are sent to tasks
+    monkeypatch.setattr(lm_score, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(lm_score, "BROADCAST_PLACES", documents, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    draw = random.Random(2)
+    some = ["".join(draw.choices("abcdefghijklmnop", k=20)) for _ in range(30)]
+    texts = [(i, " ".join(draw.choices(some, k=10_000))) for i in range(60)]
+    good = set(range(0, 60, 7))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    want = plain_scores(texts, good)
+    stop, peak = threading.Event(), []
+    watch = threading.Thread(target=disk_bytes, args=(spark, stop, peak))
+    watch.start()
+    try:
+        got = {r.doc_id: r for r in lm_score.score(docs, labels).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        stop.set()
+        watch.join()
+    assert set(got) == set(want)
+    for i, (n, target, background) in want.items():
+        assert got[i].n_tokens == n
+        assert abs(got[i].loss_target - target) < 1e-9 and abs(got[i].loss_background - background) < 1e-9
+    assert max(peak) - peak[0] < 3 * 60 * 10_000
+
+
 def test_numbers_are_unpacked_as_packed():
     for x in ([], [0], [0, 1, 255], [1 << 63, 3, (1 << 64) - 1], [7] * 1000):
         x = np.array(x, np.uint64)
