@@ -62,6 +62,17 @@ def test_substrings_of_names_stay_out_of_the_driver(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_names_without_a_partner_meet_in_few_segments(spark, monkeypatch):
+    """Names that look alike nowhere share fewer segments than there are pairs."""
+    a, b = (spark.range(120).selectExpr(f"concat('en_', {x}, '.txt') AS name") for x in (
+        "md5(cast(id AS string))", "replace(md5(cast(id + 1000 AS string)), 'a', '99')"))
+    joins, real = [], type(a).join
+    monkeypatch.setattr(type(a), "join", lambda x, y, on=None, how=None: joins.append((x, y, on, how)) or real(x, y, on, how))
+    assert similar_names(a, b, 0.7).count() == 0
+    met = sum(real(x, y, on).count() for x, y, on, how in joins if how is None and "_gram" in on)
+    assert 0 < met < a.count() * b.count()
+
+
 def tokens(title, stops=("the", "of")):
     words = [w for w in title.split() if len(w) > 1]
     return sorted({w for w in words if w not in stops} or set(words) or {title})
