@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sidematch.functions import dates, text
-from sidematch.operators import pairing, stats
+from sidematch.operators import pairing, rollup, stats
 from sidematch.plans import compare
 from sidematch.sources.keyed import parse_keyed_rows
 from sidematch.sources.reports import slice_width
@@ -81,3 +81,24 @@ def test_pairs_are_aligned_when_asked(spark, monkeypatch):
     assert result.summary.count() == 1 and not calls
     assert result.diff_rows.where("text = 'z'").count() == 1 and result.unified_diff.count() > 0
     assert len(calls) == 1
+
+
+def test_section_lists_stay_out_of_the_driver(spark):
+    """Stored section lists look smaller than they are: no join sends them to all tasks."""
+    def listed(n):
+        return spark.range(n).selectExpr("'d' AS doc", "id AS section_id", "concat('Page ', id) AS section_title", "4L AS n_lines", "3L AS n_filled")
+
+    def lines(n, text):
+        return spark.range(n * 4).selectExpr(
+            "'d' AS doc", "id AS line_no", "id div 4 AS section_id", "id % 4 = 0 AS is_marker", f"{text} AS line")
+
+    sides = listed(100), listed(90), lines(100, "concat('x ', id % 3)"), lines(90, "concat('X ', id % 3, repeat(' ', id % 2))")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        found = {c: rollup.compare_sections(*sides, ["doc"], normalize=lambda x: F.trim(F.lower(x)), chunk=c) for c in (None, 2)}
+        assert all("BroadcastExchange" not in plan_of(df) for df in found.values())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain, sliced = (df.collect() for df in found.values())
+    assert sorted(plain, key=str) == sorted(sliced, key=str)
+    assert sorted((r.status, r.similarity_ratio) for r in plain) == [("matched", 1.0)] * 90 + [("removed", None)] * 10
