@@ -8,6 +8,7 @@ from sidematch.operators import pairing, rollup, stats
 from sidematch.plans import compare
 from sidematch.sources.keyed import parse_keyed_rows
 from sidematch.sources.reports import slice_width
+from workload import summary_queries
 
 
 def plan_of(df):
@@ -102,3 +103,14 @@ def test_section_lists_stay_out_of_the_driver(spark):
     plain, sliced = (df.collect() for df in found.values())
     assert sorted(plain, key=str) == sorted(sliced, key=str)
     assert sorted((r.status, r.similarity_ratio) for r in plain) == [("matched", 1.0)] * 90 + [("removed", None)] * 10
+
+
+def test_pair_summary_gives_both_verdicts(spark, tmp_path):
+    long = "\n".join(f"line {i}" for i in range(60))
+    spark.createDataFrame([(i, t) for i, t in enumerate(("one", long, "\n".join("abcdefgh")), 1)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    rows = summary_queries.pair_summary(spark, str(tmp_path)).collect()
+    want = {r: s for r, s in ((1.0, "IDENTICAL"), (0.85, "MINOR"), (0.6, "MODERATE"), (0.0, "SIGNIFICANT"))}
+    assert len(rows) == 3
+    assert all(r.verdict_strict == next(s for least, s in want.items() if r.similarity_ratio >= least) for r in rows)
+    assert len({r.verdict_strict for r in rows}) > 1
