@@ -8,6 +8,7 @@ from sidematch.operators import pairing, rollup, stats
 from sidematch.plans import compare
 from sidematch.sources.keyed import parse_keyed_rows
 from sidematch.sources.reports import slice_width
+from sidematch.sources.rules import Rule
 from workload import summary_queries
 
 
@@ -114,3 +115,23 @@ def test_pair_summary_gives_both_verdicts(spark, tmp_path):
     assert len(rows) == 3
     assert all(r.verdict_strict == next(s for least, s in want.items() if r.similarity_ratio >= least) for r in rows)
     assert len({r.verdict_strict for r in rows}) > 1
+
+
+def test_lines_of_reports_are_written_once(spark, monkeypatch):
+    """Pages of one kind go through without being stored; both kinds give what each gives alone."""
+    text = "PAGE 1\nhead\na\nb\nc\nd\ne\nPAGE 2\nhead\nf\n\ng"
+    docs = spark.createDataFrame(
+        [(s, n, n, n, text + extra) for n in ("one.txt", "two.txt") for s, extra in (("A", ""), ("B", "\nz"))],
+        "side string, doc_id string, file_name string, match_name string, text string")
+    written, real = [], compare.materialize
+    monkeypatch.setattr(compare, "materialize", lambda df: written.append("line_no" in df.columns) or real(df))
+
+    def run(df, rules):
+        written.clear()
+        result = compare.compare(df, rules)
+        return sorted(map(str, result.summary.collect() + result.pages.collect())), sum(written)
+
+    rules = [Rule("one.*", split_pattern=r"PAGE (\d+)")]
+    one, two, both = run(docs.where("doc_id = 'one.txt'"), rules), run(docs.where("doc_id = 'two.txt'"), rules), run(docs, rules)
+    assert one[1] == two[1] == 1
+    assert sorted(one[0] + two[0]) == both[0] and len(both[0]) > 4
